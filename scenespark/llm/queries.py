@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, bsi, lines, mixing, packing, partenum, tokens
+from . import ann, bsi, cotrain, html_blocks, lines, mixing, packing, partenum, tokens, warc
 
 
 def tokenizer_path(name: str) -> str:
@@ -23,6 +23,10 @@ def op1_bsi_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bsi.top_inner(e, e.where("vec_id % 100 = 0"))
 
 
+def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.archive_round_trip(_read(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op3_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = _read(spark, sf_dir, "embeddings")
     return ann.nearest(e, e.where("vec_id % 100 = 0"))
@@ -36,6 +40,14 @@ def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.count_tokens(_read(spark, sf_dir, "documents"), tokenizer_path("piece_bpe_32k.model"))
 
 
+def op6_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_blocks.main_text(_read(spark, sf_dir, "pages"))
+
+
+def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cotrain.classify(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"))
+
+
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = lines.dedup_lines(_read(spark, sf_dir, "documents").select("doc_id", "text"))
     return out.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
@@ -49,7 +61,7 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_read(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"))
 
 
-QUERIES = {f.__name__: f for f in (op1_bsi_topk, op3_ann, op4_ngram_jaccard, op5_token_counts, op8_line_dedup, op9_mixing, op10_packing)}
+QUERIES = {f.__name__: f for f in (op1_bsi_topk, op2_warc, op3_ann, op4_ngram_jaccard, op5_token_counts, op6_html_text, op7_quality, op8_line_dedup, op9_mixing, op10_packing)}
 
 ORACLE_SQL = {
     "op1_bsi_topk": """

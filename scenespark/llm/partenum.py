@@ -243,9 +243,13 @@ def _across(pdf: pd.DataFrame, t: float) -> pd.DataFrame:
         table = np.stack([_folded(sketches[i], size) for i in rows])
         for i in mine.tolist():
             end = np.searchsorted(n, n[i] / t + 1e-6, side="right")
-            near = table[i + 1 - rows[0] : end - rows[0]]
-            differ = np.bitwise_count(near ^ table[i - rows[0]]).sum(1)
-            hit = np.flatnonzero((differ <= (n[i + 1 : end] + n[i]) * (1 - t) / (1 + t) + 1e-6) & (comp[i + 1 : end] != comp[i])) + i + 1
+            hit = np.flatnonzero(comp[i + 1 : end] != comp[i]) + i + 1
+            own, half = table[i - rows[0]], max(1, table.shape[1] // 2)
+            most = (n[hit] + n[i]) * (1 - t) / (1 + t) + 1e-6
+            # half of the bits rules most pairs out
+            few = np.bitwise_count(table[hit - rows[0], :half] ^ own[:half]).sum(1, dtype=np.int32) <= most
+            hit, most = hit[few], most[few]
+            hit = hit[np.bitwise_count(table[hit - rows[0]] ^ own).sum(1, dtype=np.int32) <= most]
             left.append(np.minimum(node[hit], node[i]))
             right.append(np.maximum(node[hit], node[i]))
     return pd.DataFrame({"a": np.concatenate(left), "b": np.concatenate(right)})
@@ -294,11 +298,11 @@ def jaccard_links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     buckets = max(6, -(-int(total or 0) * seeds // (2 * BUCKET)))
     dealt = docs.select("text").mapInArrow(partial(_deal, t=t, seeds=seeds, width=width, buckets=buckets), "bucket int, packed binary")
     met = dealt.groupBy("bucket").applyInArrow(_meet, "a long, b long, star boolean")
-    met = met.groupBy("a", "b").agg(F.max("star").alias("star"))
+    met = materialize(met.groupBy("a", "b").agg(F.max("star").alias("star")), "met")
     ends = [nodes.select(F.col("key").alias(x), F.col("rep").alias(f"r_{x}"), F.col("n").alias(f"n_{x}"), F.col("sketch").alias(f"s_{x}")) for x in "ab"]
     met = met.join(ends[0], "a").join(ends[1], "b")
     met = met.select(F.least("r_a", "r_b").alias("a"), F.greatest("r_a", "r_b").alias("b"), "star", "n_a", "n_b", "s_a", "s_b").where("a < b")
-    hubs = materialize(met.where("star").select("a", "b").distinct(), "hubs") if SMALL_GROUP else None
+    hubs = materialize(met.where("star").select("a", "b").distinct(), "hubs")
     near = met.select("a", "b", "n_a", "n_b", "s_a", "s_b").mapInPandas(partial(_plausible, t=t), "a long, b long").distinct()
     links = materialize(verified(docs, near, num, den, width), "pairs")
     comps = components(links)
@@ -328,7 +332,8 @@ def verified(docs: DataFrame, pairs: DataFrame, num: int, den: int, width: int)
     dealt = pairs.join(many, "a").select("a", "b", F.pmod(F.xxhash64("b"), F.ceil(F.col("m") / CHUNK)).alias("chunk"))
     need = dealt.select("a", "chunk", F.col("b").alias("member"), F.lit(1).alias("part"))
     need = need.union(dealt.select("a", "chunk", F.col("a").alias("member"), F.lit(0).alias("part")).distinct())
-    rows = need.join(docs.where("doc_id is not null"), need["member"] == docs["doc_id"]).select("a", "chunk", "member", "part", "text")
+    # a merge join at every size: what is asked for grows with the input
+    rows = need.join(docs.where("doc_id is not null").hint("merge"), need["member"] == docs["doc_id"]).select("a", "chunk", "member", "part", "text")
     rows = rows.repartition(F.col("a"), F.col("chunk")).sortWithinPartitions("a", "chunk", "part", "member")
     return rows.mapInArrow(partial(_verify, num=num, den=den, width=width), "a long, b long").distinct()
 

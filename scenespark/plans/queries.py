@@ -171,7 +171,7 @@ def percentile_trim(v: Views) -> DataFrame:
     return rounded(cloud.percentile_trim(v.cloud).select("id", "seq", "e", "n"))
 
 
-@query("+ d AS (SELECT p.seq, min(sqrt(pow(p.e - c.e, 2) + pow(p.n - c.n, 2) + pow(p.u - c.u, 2))) AS m FROM (SELECT seq, e, n, u FROM cloud) p, cameras c GROUP BY p.seq, p.e, p.n, p.u), k AS (SELECT c.seq, m FROM cloud c JOIN (SELECT DISTINCT * FROM d) d USING (seq)), q AS (SELECT median(m) AS mid FROM k) SELECT seq, round(m, 6) AS camera_m FROM k, q WHERE m <= 1.6 * mid")
+@query("+ p AS (SELECT row_number() OVER () AS k, seq, e, n, u FROM cloud), d AS (SELECT k, seq, min(sqrt(pow(p.e - c.e, 2) + pow(p.n - c.n, 2) + pow(p.u - c.u, 2))) AS m FROM p, cameras c GROUP BY k, seq), q AS (SELECT median(m) AS mid FROM d) SELECT seq, round(m, 6) AS camera_m FROM d, q WHERE m <= 1.6 * mid")
 def range_gate(v: Views) -> DataFrame:
     return rounded(cloud.range_gate(v.cloud, v.cameras).select("seq", "camera_m"))
 

@@ -18,7 +18,7 @@ TRACK = """SELECT user_id AS track, event_id AS seq, {us} / 1000000.0 AS t, 28.5
 CLOUD = """SELECT l_orderkey * 10 + l_linenumber AS id, l_quantity * 2 - 50 AS e, floor(l_extendedprice) / 1024 - 50 AS n, floor(l_discount * 1000 - l_tax * 500) / 16 AS u,
     CAST(l_orderkey % 256 AS INT) AS r, CAST(l_partkey % 256 AS INT) AS g, CAST(l_suppkey % 256 AS INT) AS b, 0.05 + 0.9 * l_tax / 0.08 AS conf, l_linenumber AS observations,
     l_returnflag AS source, l_linestatus AS status, CASE WHEN l_linenumber % 3 = 0 THEN NULL ELSE l_discount + 0.05 END AS uncertainty_m, l_linestatus = 'O' AS synthetic,
-    ((l_orderkey * 8 + l_linenumber) * 1000003 + l_partkey) * 1009 + l_suppkey AS seq FROM lineitem"""
+    (((l_orderkey * 8 + l_linenumber) * 1000003 + l_partkey) * 1009 + l_suppkey) * 64 + CAST(l_quantity AS BIGINT) AS seq FROM lineitem"""
 PARTS = "SELECT p_partkey AS id, CAST(p_size AS DOUBLE) AS e, p_retailprice / 20 AS n, CAST(p_partkey % 37 AS DOUBLE) / 4 AS u FROM part"
 CUSTOMERS = "SELECT c_custkey AS id, c_acctbal / 100 AS e, CAST(c_nationkey AS DOUBLE) AS n, CAST(c_custkey % 19 AS DOUBLE) AS u, c_mktsegment AS source FROM customer"
 SUPPLIERS = "SELECT s_suppkey AS id, s_acctbal / 100 AS e, CAST(s_nationkey AS DOUBLE) AS n, CAST(s_suppkey % 19 AS DOUBLE) AS u FROM supplier"

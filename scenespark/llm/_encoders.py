@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from itertools import repeat
+
 import numpy as np
 import regex
 
 #: Entries of a table; a full table starts again.
-MOST = 400_000
+MOST = 700_000
 _PIECES = regex.compile(r"\p{L}+|\p{N}|[^\s\p{L}\p{N}]+")
 _PLAIN = regex.compile(r"[!-&(-~À-ÖØ-öø-ÿ]+")
 
@@ -29,49 +31,54 @@ class WordEncoder:
 
     def clear(self) -> None:
         self.words: dict[bytes, int] = {}
-        self.flat, self.start, self.length = bytearray(), [], []
+        self.flat, self.start, self.length = bytearray(), np.zeros(0, np.int64), np.zeros(0, np.int64)
+
+    def _ids(self, text: str) -> bytes:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.uint32).tobytes()
 
     def _learn(self, chunks: list[bytes]) -> None:
         if len(self.pieces) > MOST:
             self.pieces = {}
-        cuts = []
+        known, plain, cut_up, cuts = self.pieces, _PLAIN.fullmatch, _PIECES.findall, []
         for c in chunks:
             s = c.decode("utf-8", "replace")
-            cuts.append(_PIECES.findall(s.lower()) if _PLAIN.fullmatch(s) and "<|" not in s else s)
-        new = list({p for c in cuts if isinstance(c, list) for p in c if p not in self.pieces})
+            cuts.append(cut_up(s.lower()) if plain(s) and "<|" not in s else s)
+        new = list({p for c in cuts if c.__class__ is list for p in c if p not in known})
         for i in range(0, len(new), 2000):
             part = new[i : i + 2000]
             ids = np.array(self.tokenizer.encode(" ".join(part), add_special_tokens=False).ids, np.uint32)
             at = np.flatnonzero(self.ends[ids]) + 1
             if len(at) == len(part):
-                self.pieces.update(zip(part, (ids[a:b].tobytes() for a, b in zip([0, *at[:-1].tolist()], at.tolist()))))
+                raw, to = ids.tobytes(), (at * 4).tolist()
+                known.update(zip(part, (raw[a:b] for a, b in zip([0, *to[:-1]], to))))
             else:
-                self.pieces.update((p, np.array(self.tokenizer.encode(p, add_special_tokens=False).ids, np.uint32).tobytes()) for p in part)
-        for c, cut in zip(chunks, cuts):
-            ids = b"".join(map(self.pieces.__getitem__, cut)) if isinstance(cut, list) else np.array(self.tokenizer.encode(cut, add_special_tokens=False).ids, np.uint32).tobytes()
-            self.words[c] = len(self.start)
-            self.start.append(len(self.flat) // 4)
-            self.length.append(len(ids) // 4)
-            self.flat += ids
+                known.update((p, self._ids(p)) for p in part)
+        got = [(known[c[0]] if len(c) == 1 else b"".join([known[p] for p in c])) if c.__class__ is list else self._ids(c) for c in cuts]
+        length = np.array([len(g) for g in got], np.int64) // 4
+        self.words.update(zip(chunks, range(len(self.length), len(self.length) + len(chunks))))
+        self.start = np.concatenate((self.start, len(self.flat) // 4 + np.cumsum(length) - length))
+        self.length = np.concatenate((self.length, length))
+        self.flat += b"".join(got)
 
     def encode(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts one after the other, and where each text's begin."""
         if len(self.words) > MOST:
             self.clear()
-        chunks = [t.split() for t in texts]
+        # the file's normaliser lowers all letters after composing them; lowering A to Z first is the
+        # same where nothing composes with them and no special token could come of it
+        chunks = [(t if b"<|" in t or b"\xcc" in t or b"\xcd" in t else t.lower()).split() for t in texts]
         flat = [w for c in chunks for w in c]
-        get = self.words.get
-        found = [get(w, -1) for w in flat]
-        if -1 in found:
-            self._learn(list({w for w, i in zip(flat, found) if i < 0}))
-            found = [get(w) for w in flat]
+        found = np.array(list(map(self.words.get, flat, repeat(-1))), np.int64)
         at = np.concatenate(([0], np.cumsum([len(c) for c in chunks]))).astype(np.int64)
         if not flat:
             return np.zeros(0, np.uint32), np.zeros(len(texts) + 1, np.int64)
-        index = np.array(found, np.int64)
-        length = np.array(self.length, np.int64)[index]
+        lost = np.flatnonzero(found < 0).tolist()
+        if lost:
+            self._learn(list({flat[i] for i in lost}))
+            found[lost] = [self.words[flat[i]] for i in lost]
+        length = self.length[found]
         ends = np.concatenate(([0], np.cumsum(length)))
-        place = np.repeat(np.array(self.start, np.int64)[index] - ends[:-1], length) + np.arange(ends[-1])
+        place = np.repeat(self.start[found] - ends[:-1], length) + np.arange(ends[-1])
         return np.frombuffer(bytes(self.flat), np.uint32)[place], ends[at]
 
 

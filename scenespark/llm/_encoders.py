@@ -7,8 +7,8 @@ from itertools import repeat
 import numpy as np
 import regex
 
-#: Entries of a table; a full table starts again.
-MOST = 700_000
+#: Entries of a table, of 0.2 KB each; a full table starts again.
+MOST = 350_000
 _PIECES = regex.compile(r"\p{L}+|\p{N}|[^\s\p{L}\p{N}]+")
 _PLAIN = regex.compile(r"[!-&(-~À-ÖØ-öø-ÿ]+")
 
@@ -121,6 +121,11 @@ class PieceCounter:
 _MADE: dict[tuple[str, str], object] = {}
 
 
+def forget() -> None:
+    """Drops this worker's tables; the next encoder starts with empty ones."""
+    _MADE.clear()
+
+
 def encoder(kind: type, path: str):
     """One for each worker process and file."""
     if (kind.__name__, path) not in _MADE:

@@ -3,16 +3,20 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
 import shutil
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from functools import partial
 
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import _encoders, _text
+
 _LOCAL: list[str] = []
 
 
@@ -61,6 +65,31 @@ def cut(batch: pa.RecordBatch, col: int, most_bytes: int = 4 << 20) -> Iterator[
         yield batch.slice(start)
 
 
+def release() -> None:
+    """Gives memory that a worker no longer uses back to the machine: workers outlive their tasks, and
+    what one stage leaves in them counts against the next."""
+    _text.forget()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
+def frugal(f: Callable[[Iterator], Iterator], tables: bool = False) -> Callable[[Iterator], Iterator]:
+    """f for mapInArrow or mapInPandas, whose task leaves no memory behind. Only stages that encode
+    keep the tables of the encoders."""
+    return partial(_frugal, f, tables)
+
+
+def _frugal(f: Callable[[Iterator], Iterator], tables: bool, batches: Iterator) -> Iterator:
+    if not tables:
+        _encoders.forget()
+    try:
+        yield from f(batches)
+    finally:
+        release()
+
+
 def kept_cast(batches: Iterator[pa.RecordBatch], cols: list[str]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         yield b.select(cols)

@@ -40,6 +40,11 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _POWERS[0], _POWERS[1]
 
 
+def forget() -> None:
+    """Drops the powers kept for the longest batch so far."""
+    _POWERS[:] = [p[:1].copy() for p in _POWERS]
+
+
 def bytes_of(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """The bytes of all texts one after the other, and where each begins (n + 1 numbers)."""
     texts = pa.compute.fill_null(texts, "").cast(pa.large_string())

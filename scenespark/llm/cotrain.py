@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._shared import cut
+from ._shared import cut, frugal
 from ._text import bytes_of, words
 
 #: The classifier is fitted on at most so many labelled and unlabelled documents, those whose ids
@@ -149,7 +149,7 @@ def probabilities(model: dict, xt: np.ndarray, xm: np.ndarray) -> tuple[np.ndarr
 def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Columns: id, label, text, size, names."""
     for whole in batches:
-        for b in cut(whole, 2):
+        for b in cut(whole, 2, 1 << 20):
             xt = text_view(b.column(2))
             xm = meta_view(b.column(3).to_pylist(), [c.to_pylist() for c in b.columns[4:]])
             yield pa.record_batch({"id": b.column(0).cast(pa.string()), "label": b.column(1), "view": pa.array([np.concatenate(r).astype("<f4").tobytes() for r in zip(xt, xm)], pa.binary())})
@@ -158,7 +158,7 @@ def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _score(batches: Iterator[pa.RecordBatch], model, cut_off: float) -> Iterator[pa.RecordBatch]:
     """Columns: id, text, size, names."""
     for whole in batches:
-        for b in cut(whole, 1):
+        for b in cut(whole, 1, 1 << 20):
             if model.value is None:
                 p = (np.ones(b.num_rows),) * 3
             else:
@@ -178,7 +178,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, size_col
     kind = named.schema["__id"].dataType.simpleString()
     want = F.broadcast(docs.sparkSession.createDataFrame(chosen, f"__w {kind}, __y int"))
     rows = named.join(want, named["__id"] == want["__w"]).select("__id", "__y", "__text", "__size", *(f"__m{k}" for k in range(len(meta_cols))))
-    got = sorted({(r["id"], -1 if r["label"] is None else r["label"], bytes(r["view"])) for r in rows.mapInArrow(_features, "id string, label int, view binary").collect()})
+    got = sorted({(r["id"], -1 if r["label"] is None else r["label"], bytes(r["view"])) for r in rows.mapInArrow(frugal(_features), "id string, label int, view binary").collect()})
     x = np.frombuffer(b"".join(v for _, _, v in got), "<f4").reshape(len(got), -1).astype(np.float64)
     y = np.array([n for _, n, _ in got], float)
     xt, xm = x[:, : HASHED + SHAPE], x[:, HASHED + SHAPE :]
@@ -196,4 +196,4 @@ def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
     model = docs.sparkSession.sparkContext.broadcast(fit(docs, labels, id_col, text_col, size_col, meta_cols, label_col))
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("t"), F.col(size_col).cast("double").alias("s"), *(F.col(c).cast("string").alias(f"m{k}") for k, c in enumerate(meta_cols)))
     kind = rows.schema["doc_id"].dataType.simpleString()
-    return rows.mapInArrow(partial(_score, model=model, cut_off=cut_off), f"doc_id {kind}, p_text double, p_meta double, score double, keep boolean").withColumnRenamed("doc_id", id_col)
+    return rows.mapInArrow(frugal(partial(_score, model=model, cut_off=cut_off)), f"doc_id {kind}, p_text double, p_meta double, score double, keep boolean").withColumnRenamed("doc_id", id_col)

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._shared import cut, materialize
+from ._shared import cut, frugal, materialize
 
 _SPACE = " \t\n\x0b\x0c\r"
 
@@ -66,10 +66,10 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     An empty table stays empty."""
     docs = docs.drop("n_lines", "n_dropped")
     held = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    lines = materialize(held.mapInArrow(partial(_explode, min_chars=min_chars), "doc_id long, key binary").distinct(), "lines")
+    lines = materialize(held.mapInArrow(frugal(partial(_explode, min_chars=min_chars)), "doc_id long, key binary").distinct(), "lines")
     often = lines.groupBy("key").agg(F.count(F.lit(1)).alias("docs"), F.max("doc_id").alias("keeper")).where(F.col("docs") >= min_docs)
     drops = lines.join(often, "key").where("doc_id <> keeper").groupBy(F.col("doc_id").alias("__doc")).agg(F.collect_list("key").alias("__drop"))
     joined = docs.join(drops, docs[id_col] == drops["__doc"], "left").drop("__doc")
     fields = [T.StructField(f.name, T.StringType()) if f.name == text_col else f for f in docs.schema.fields]
     schema = T.StructType([*fields, T.StructField("n_lines", T.LongType()), T.StructField("n_dropped", T.LongType())])
-    return joined.mapInArrow(partial(_reassemble, at=docs.columns.index(text_col), min_chars=min_chars, names=schema.names), schema)
+    return joined.mapInArrow(frugal(partial(_reassemble, at=docs.columns.index(text_col), min_chars=min_chars, names=schema.names)), schema)

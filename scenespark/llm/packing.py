@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ._encoders import WordEncoder, encoder
-from ._shared import cut, materialize
+from ._shared import cut, frugal, materialize
 
 
 def pack_histogram(histogram: dict[int, int], size: int) -> list[tuple[int, list[int]]]:
@@ -105,7 +105,7 @@ def pack(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col:
     docs = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     kind = docs.schema["doc_id"].dataType.simpleString()
     schema = f"doc_id {kind}, start long, length long, ids_crc32 long, doc_tokens long, part int, local long" + ", ids array<int>" * with_ids
-    pieces = materialize(docs.mapInArrow(partial(_cut_texts, path=tokenizer_path, size=size, end_id=end_id, with_ids=with_ids), schema), "pieces")
+    pieces = materialize(docs.mapInArrow(frugal(partial(_cut_texts, path=tokenizer_path, size=size, end_id=end_id, with_ids=with_ids), tables=True), schema), "pieces")
     tasks = materialize(pieces.groupBy("part", "length").agg(F.count(F.lit(1)).alias("n")), "lengths")
     histogram = {int(r[0]): int(r[1]) for r in tasks.groupBy("length").agg(F.sum("n")).collect()}
     rows, next_rank, next_sequence = [], dict.fromkeys(histogram, 0), 0

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._shared import cut, materialize
+from ._shared import cut, frugal, materialize
 from ._text import U, mix, parts_sum, shingles
 
 #: Groups of at most so many sets give all their pairs.
@@ -288,7 +288,7 @@ def jaccard_links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     info_schema = "doc_id long, n_shingles long, key long, check long, enough boolean, sketch binary"
     seeds = 1
     while True:
-        info = materialize(docs.mapInArrow(partial(_describe, t=t, seeds=seeds, width=width), info_schema), "sets")
+        info = materialize(docs.mapInArrow(frugal(partial(_describe, t=t, seeds=seeds, width=width)), info_schema), "sets")
         few, total = info.agg(F.count_if(~F.col("enough")), F.sum("n_shingles")).first()
         if not few:
             break
@@ -296,7 +296,7 @@ def jaccard_links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     nodes = materialize(info.where("n_shingles > 0").groupBy("key", "check").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"), F.first("sketch").alias("sketch")).where("rep is not null"), "nodes")
     members = info.join(nodes.select("key", "check", "rep"), ["key", "check"], "left").select("doc_id", "n_shingles", "rep")
     buckets = max(6, -(-int(total or 0) * seeds // (2 * BUCKET)))
-    dealt = docs.select("text").mapInArrow(partial(_deal, t=t, seeds=seeds, width=width, buckets=buckets), "bucket int, packed binary")
+    dealt = docs.select("text").mapInArrow(frugal(partial(_deal, t=t, seeds=seeds, width=width, buckets=buckets)), "bucket int, packed binary")
     met = dealt.groupBy("bucket").applyInArrow(_meet, "a long, b long, star boolean")
     met = materialize(met.groupBy("a", "b").agg(F.max("star").alias("star")), "met")
     ends = [nodes.select(F.col("key").alias(x), F.col("rep").alias(f"r_{x}"), F.col("n").alias(f"n_{x}"), F.col("sketch").alias(f"s_{x}")) for x in "ab"]
@@ -335,7 +335,7 @@ def verified(docs: DataFrame, pairs: DataFrame, num: int, den: int, width: int)
     # a merge join at every size: what is asked for grows with the input
     rows = need.join(docs.where("doc_id is not null").hint("merge"), need["member"] == docs["doc_id"]).select("a", "chunk", "member", "part", "text")
     rows = rows.repartition(F.col("a"), F.col("chunk")).sortWithinPartitions("a", "chunk", "part", "member")
-    return rows.mapInArrow(partial(_verify, num=num, den=den, width=width), "a long, b long").distinct()
+    return rows.mapInArrow(frugal(partial(_verify, num=num, den=den, width=width)), "a long, b long").distinct()
 
 
 def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: tuple[int, int] = (80, 100), width: int = 5) -> DataFrame:

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._encoders import PieceCounter, encoder
-from ._shared import cut, shared_dir
+from ._shared import cut, frugal, shared_dir
 
 _CACHE = "digest string, version string, n_tokens long"
 
@@ -48,7 +48,7 @@ def count_tokens(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_
     if hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(hadoop):
         known = spark.read.schema(_CACHE).parquet(path).where(F.col("version") == version).select("digest")
         distinct = distinct.join(known, "digest", "left_anti")
-    fresh = distinct.mapInArrow(partial(_encode, path=model_path, version=version), _CACHE)
+    fresh = distinct.mapInArrow(frugal(partial(_encode, path=model_path, version=version), tables=True), _CACHE)
     fresh.write.mode("append").parquet(path)
     cache = spark.read.schema(_CACHE).parquet(path).where(F.col("version") == version).groupBy("digest").agg(F.max("n_tokens").alias("n_tokens"))
     out = docs.select("__id", "digest", F.octet_length("__text").cast("long").alias("n_bytes")).join(cache, "digest")

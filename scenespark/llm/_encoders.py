@@ -8,7 +8,7 @@ import numpy as np
 import regex
 
 #: Entries of a table, of 0.2 KB each; a full table starts again.
-MOST = 350_000
+MOST = 700_000
 _PIECES = regex.compile(r"\p{L}+|\p{N}|[^\s\p{L}\p{N}]+")
 _PLAIN = regex.compile(r"[!-&(-~À-ÖØ-öø-ÿ]+")
 

@@ -14,8 +14,10 @@ Sets that share a signature are candidates. A group of few sets gives all its pa
 group gives only pairs with its first member (its hub). Candidates whose parity sketches
 differ in more bits than k cannot be similar and go; the others are verified on whole texts.
 Then, for each hub whose candidates fell into several components, the members of different
-components are compared block by block by sketch, and what is left is verified too. So no link
-between different components is lost, and no group is expanded into all its pairs.
+components are compared block by block by sketch. Of the pairs left so many are verified as would join
+all that they join; only where one of these is refuted, all that are still between different
+components. So no link between different components is lost, and a group of like sets is not expanded
+into all its pairs.
 """
 
 from __future__ import annotations
@@ -228,31 +230,52 @@ def _verify(batches: Iterator[pa.RecordBatch], num: int, den: int, width: int) -
             yield pa.record_batch({"a": pa.array(left, pa.int64()), "b": pa.array(right, pa.int64())})
 
 
-def _across(pdf: pd.DataFrame, t: float) -> pd.DataFrame:
-    """Plausible pairs of different components among the members of one hub."""
+def _across(pdf: pd.DataFrame, t: float, whole: bool) -> pd.DataFrame:
+    """Plausible pairs of different components among the members of one hub: all of them (whole), or
+    at most one less than there are components, so many that they join all that plausible pairs join.
+    Pairs whose sketches differ little, which are hardly ever refuted, are taken first for that; then
+    grp tells what they join, and the members so joined come too, as rows that are not pairs."""
     pdf = pdf.drop_duplicates("node").sort_values(["n", "node"])
-    n, comp, node = pdf["n"].to_numpy(), pdf["comp"].to_numpy(), pdf["node"].to_numpy()
+    n, node = pdf["n"].to_numpy(), pdf["node"].to_numpy()
+    comp = np.unique(pdf["comp"].to_numpy(), return_inverse=True)[1]
     sketches = pdf["sketch"].to_list()
     sizes = np.array([len(s) for s in sketches])
-    left, right = [], []
-    for size in np.unique(sizes):
-        # all sets with sketches of at least this size, folded to it
-        mine = np.flatnonzero(sizes == size)
-        last = np.searchsorted(n, n[mine[-1]] / t + 1e-6, side="right")
-        rows = np.arange(mine[0], last)
-        table = np.stack([_folded(sketches[i], size) for i in rows])
-        for i in mine.tolist():
-            end = np.searchsorted(n, n[i] / t + 1e-6, side="right")
-            hit = np.flatnonzero(comp[i + 1 : end] != comp[i]) + i + 1
-            own, half = table[i - rows[0]], max(1, table.shape[1] // 2)
-            most = (n[hit] + n[i]) * (1 - t) / (1 + t) + 1e-6
-            # half of the bits rules most pairs out
-            few = np.bitwise_count(table[hit - rows[0], :half] ^ own[:half]).sum(1, dtype=np.int32) <= most
-            hit, most = hit[few], most[few]
-            hit = hit[np.bitwise_count(table[hit - rows[0]] ^ own).sum(1, dtype=np.int32) <= most]
-            left.append(np.minimum(node[hit], node[i]))
-            right.append(np.maximum(node[hit], node[i]))
-    return pd.DataFrame({"a": np.concatenate(left), "b": np.concatenate(right)})
+    left, right = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    again = np.ones(len(n), bool)
+    for sure in (False,) if whole else (True, False):
+        look, again = again, np.zeros(len(n), bool)
+        for size in np.unique(sizes):
+            # all sets with sketches of at least this size, folded to it
+            mine = np.flatnonzero(sizes == size)
+            last = np.searchsorted(n, n[mine[-1]] / t + 1e-6, side="right")
+            rows = np.arange(mine[0], last)
+            table = np.stack([_folded(sketches[i], size) for i in rows])
+            for i in mine[look[mine]].tolist():
+                end = np.searchsorted(n, n[i] / t + 1e-6, side="right")
+                hit = np.flatnonzero(comp[i + 1 : end] != comp[i]) + i + 1
+                own, half = table[i - rows[0]], max(1, table.shape[1] // 2)
+                most = (n[hit] + n[i]) * (1 - t) / (1 + t) + 1e-6
+                # half of the bits rules most pairs out
+                few = np.bitwise_count(table[hit - rows[0], :half] ^ own[:half]).sum(1, dtype=np.int32) <= most
+                hit, most = hit[few], most[few]
+                apart = np.bitwise_count(table[hit - rows[0]] ^ own).sum(1, dtype=np.int32)
+                few = apart <= most * (0.8 if sure else 1.0)
+                again[i] = sure and (apart[~few] <= most[~few]).any()
+                hit, apart = hit[few], apart[few]
+                if not whole and len(hit):
+                    hit = hit[np.argsort(apart, kind="stable")]
+                    labels, first = np.unique(comp[hit], return_index=True)
+                    hit = hit[first]
+                    comp[np.isin(comp, labels)] = comp[i]
+                left.append(np.minimum(node[hit], node[i]))
+                right.append(np.maximum(node[hit], node[i]))
+    a, b = np.concatenate(left), np.concatenate(right)
+    if whole:
+        return pd.DataFrame({"a": a, "b": b})
+    by_node = pd.Series(comp, index=node)
+    grp = by_node.loc[a].to_numpy()
+    at = np.isin(comp, grp)
+    return pd.DataFrame({"grp": np.concatenate((grp, comp[at])), "a": np.concatenate((a, node[at])), "b": np.concatenate((b, node[at])), "pair": np.arange(len(a) + at.sum()) < len(a)})
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -296,32 +319,49 @@ def jaccard_links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     nodes = materialize(info.where("n_shingles > 0").groupBy("key", "check").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"), F.first("sketch").alias("sketch")).where("rep is not null"), "nodes")
     members = info.join(nodes.select("key", "check", "rep"), ["key", "check"], "left").select("doc_id", "n_shingles", "rep")
     buckets = max(6, -(-int(total or 0) * seeds // (2 * BUCKET)))
-    dealt = docs.select("text").mapInArrow(frugal(partial(_deal, t=t, seeds=seeds, width=width, buckets=buckets)), "bucket int, packed binary")
+    # a text without an id must not be a hub
+    dealt = docs.where("doc_id is not null").select("text").mapInArrow(frugal(partial(_deal, t=t, seeds=seeds, width=width, buckets=buckets)), "bucket int, packed binary")
     met = dealt.groupBy("bucket").applyInArrow(_meet, "a long, b long, star boolean")
     met = materialize(met.groupBy("a", "b").agg(F.max("star").alias("star")), "met")
     ends = [nodes.select(F.col("key").alias(x), F.col("rep").alias(f"r_{x}"), F.col("n").alias(f"n_{x}"), F.col("sketch").alias(f"s_{x}")) for x in "ab"]
     met = met.join(ends[0], "a").join(ends[1], "b")
-    met = met.select(F.least("r_a", "r_b").alias("a"), F.greatest("r_a", "r_b").alias("b"), "star", "n_a", "n_b", "s_a", "s_b").where("a < b")
-    hubs = materialize(met.where("star").select("a", "b").distinct(), "hubs")
+    # a hub is the first by key, whatever its doc_id
+    met = met.select(F.least("r_a", "r_b").alias("a"), F.greatest("r_a", "r_b").alias("b"), F.col("r_a").alias("hub"), F.col("r_b").alias("node"), "star", "n_a", "n_b", "s_a", "s_b").where("a < b")
+    hubs = materialize(met.where("star").select("hub", "node").distinct(), "hubs")
     near = met.select("a", "b", "n_a", "n_b", "s_a", "s_b").mapInPandas(partial(_plausible, t=t), "a long, b long").distinct()
     links = materialize(verified(docs, near, num, den, width), "pairs")
     comps = components(links)
     # what hubs did not settle: members of one hub in different components
     named = nodes.select(F.col("rep").alias("node"), "n", "sketch").groupBy("node").agg(F.first("n").alias("n"), F.first("sketch").alias("sketch"))
-    family = hubs.select(F.col("a").alias("hub"), F.col("b").alias("node")).union(hubs.select("a", "a").distinct())
+    family = hubs.union(hubs.select("hub", "hub").distinct())
     family = family.join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
     open_hubs = family.groupBy("hub").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("hub")
     family = family.join(open_hubs, "hub", "left_semi").join(named, "node")
-    more = materialize(family.select("hub", "node", "comp", "n", "sketch").groupBy("hub").applyInPandas(partial(_across_group, t=t), "a long, b long").distinct(), "across")
-    if not more.isEmpty():
-        found = materialize(verified(docs, more, num, den, width), "pairs")
+    more = family.select("hub", "node", "comp", "n", "sketch").groupBy("hub").applyInPandas(partial(_across_group, t=t), "hub long, grp long, a long, b long, pair boolean")
+    more = materialize(more, "across")
+    pairs = more.where("pair").select("hub", "grp", "a", "b")
+    if not pairs.isEmpty():
+        found = materialize(verified(docs, pairs.select("a", "b").distinct(), num, den, width), "pairs")
         links = links.union(found)
         comps = components(links)
+        # a refuted pair may have stood for others that hold
+        refuted = pairs.join(found, ["a", "b"], "left_anti").select("hub", "grp").distinct()
+        rest = more.where("not pair").join(refuted, ["hub", "grp"], "left_semi").select("hub", "grp", F.col("a").alias("node"))
+        rest = rest.join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node")).join(named, "node")
+        left = rest.select("hub", "grp", "node", "comp", "n", "sketch").groupBy("hub", "grp").applyInPandas(partial(_across_whole, t=t), "a long, b long")
+        left = materialize(left.distinct(), "across")
+        if not left.isEmpty():
+            links = links.union(materialize(verified(docs, left, num, den, width), "pairs"))
+            comps = components(links)
     return members, links, comps
 
 
 def _across_group(pdf: pd.DataFrame, t: float) -> pd.DataFrame:
-    return _across(pdf, t)
+    return _across(pdf, t, False).assign(hub=pdf["hub"].iloc[0])[["hub", "grp", "a", "b", "pair"]]
+
+
+def _across_whole(pdf: pd.DataFrame, t: float) -> pd.DataFrame:
+    return _across(pdf, t, True)
 
 
 def verified(docs: DataFrame, pairs: DataFrame, num: int, den: int, width: int) -> DataFrame:

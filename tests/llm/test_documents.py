@@ -85,6 +85,52 @@ def test_jaccard_hubs_lose_no_link(spark, monkeypatch):
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == brute_components(docs)
 
 
+def crowded():
+    """Two like texts, first, and 60 that are like nothing; of the parts that the two share each is in
+    many of the others. Texts come with the largest keys first: hubs are among the last."""
+    import pyarrow as pa
+
+    rng = random.Random(3)
+    base = [f"b{i}" for i in range(40)]
+    fillers = [base[:i] + [f"f{k}x{j}" for j in range(6)] + base[i + 6 :] for k in range(60) for i in [rng.randrange(33)]]
+
+    def by_key(texts):
+        texts = [" ".join(t) for t in texts]
+        flat, at = shingles(pa.array(texts))
+        keys = partenum.mix(partenum._sum(flat, at) + np.diff(at).astype(np.uint64)).view(np.int64)
+        return [texts[i] for i in np.argsort(keys)[::-1]]
+
+    return by_key([base[:-1] + [f"p{i}"] for i in range(1000)])[:2] + by_key(fillers)
+
+
+def test_jaccard_hub_with_a_large_id(spark):
+    docs = list(enumerate(crowded()))
+    want = brute_components(docs)
+    assert {i for i, (_, c) in want.items() if c != i} == {1}
+    got = partenum.jaccard_components(table(spark, [(i, t, "s") for i, t in docs])).collect()
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == want
+
+
+def test_jaccard_like_sets_of_one_hub_give_few_pairs():
+    import pandas as pd
+
+    rng = np.random.default_rng(2)
+    sets = [np.arange(i, i + 100) for i in range(8)] + [np.arange(5000, 5100)]
+    flat = partenum.mix(np.concatenate(sets).astype(np.uint64))
+    nodes = rng.permutation(9)
+    pdf = pd.DataFrame({"hub": 0, "node": nodes, "comp": nodes, "n": 100, "sketch": partenum._sketches(flat, np.arange(0, 901, 100))})
+    got = partenum._across(pdf, 0.8, False)
+    assert got["pair"].sum() == 7 and set(got["a"][~got["pair"]]) == set(nodes[:8])
+    assert len(partenum._across(pdf, 0.8, True)) == 28
+
+
+def test_jaccard_hub_without_an_id(spark):
+    docs = list(enumerate(crowded()))
+    want = brute_components(docs[:40])
+    got = partenum.jaccard_components(table(spark, [(i if i < 40 else None, t, "s") for i, t in docs])).where("doc_id is not null").collect()
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == want
+
+
 def test_jaccard_odd_rows(spark):
     df = table(spark, [(None, "a b c d e f", "s"), (4, "a b c d e f", "s"), (4, "a b c d e f", "s"), (2, "A b c d e F", None)])
     assert sorted((r.doc_id or -1, r.component_id) for r in partenum.jaccard_components(df).collect())[1:] == [(2, 2), (4, 2), (4, 2)]

@@ -89,13 +89,25 @@ def _build(ids: np.ndarray, table: np.ndarray, books) -> dict:
     x = table.astype(np.float64)
     codes = encode(x, books.value[table.shape[1]], _weights(table.shape[1]))
     packed = codes[:, 0::2] | codes[:, 1::2] << 4  # two codes of four bits in a byte
-    return {"codes": np.ascontiguousarray(packed.T).tobytes(), "norms": (x * x).sum(1).astype(np.float32).tobytes(), "vectors": table.tobytes()}
+    own = books.value[table.shape[1]]
+    back = np.stack([own[s][codes[:, s]] for s in range(len(own))], 1)
+    coded, lost = (back**2).sum((1, 2)), np.sqrt(((_split(x) - back) ** 2).sum((1, 2)))
+    return {
+        "codes": np.ascontiguousarray(packed.T).tobytes(),
+        "norms": (x * x).sum(1).astype(np.float32).tobytes(),
+        "coded": coded.astype(np.float32).tobytes(),
+        "lost": lost.astype(np.float32).tobytes(),
+        "vectors": table.tobytes(),
+    }
 
 
 def _within(query_ids: np.ndarray, queries: np.ndarray, segment, k: int, rerank: int, books) -> tuple:
     ids, norms, dim = np.frombuffer(segment["ids"], np.int64), np.frombuffer(segment["norms"], np.float32), int(segment["dim"])
     table = np.frombuffer(segment["vectors"], np.float32).reshape(len(ids), dim)
     codes = np.frombuffer(segment["codes"], np.uint8).reshape(-1, len(ids))
+    coded, lost = (np.frombuffer(segment[c], np.float32).astype(np.float64) for c in ("coded", "lost"))
+    # room for the rounding of sums in single precision
+    longest = float(np.sqrt(max(norms.max(), coded.max())))
     parts = _split(queries.astype(np.float64))
     tables = np.einsum("qsw,scw->qsc", parts, books.value[dim])
     q_out, v_out, s_out = [], [], []
@@ -115,7 +127,26 @@ def _within(query_ids: np.ndarray, queries: np.ndarray, segment, k: int, rerank:
         else:
             at = np.arange(len(ids))
         at = at[ids[at] != qid]
-        exact = np.sqrt(((table[at].astype(np.float64) - queries[i].astype(np.float64)) ** 2).sum(1))
+        query = queries[i].astype(np.float64)
+        exact = np.sqrt(((table[at].astype(np.float64) - query) ** 2).sum(1))
+        if len(ids) > rerank:
+            # the distance to the code less what the code lost is the least that a row can have
+            square = query @ query
+            slack = 1e-5 * (np.sqrt(square) + longest) ** 2
+            least = np.sqrt(np.maximum(near - norms.astype(np.float64) + coded + square - slack, 0)) - lost * (1 + 1e-6)
+            least[at] = np.inf
+            left = np.flatnonzero(least < np.inf)
+            size = rerank
+            while True:
+                kth = np.partition(exact, k - 1)[k - 1] if len(exact) >= k else np.inf
+                left = left[least[left] <= kth]
+                if not len(left):
+                    break
+                take = np.argpartition(least[left], size - 1)[:size] if len(left) > size else np.arange(len(left))
+                more, left = left[take], np.delete(left, take)
+                at = np.concatenate((at, more))
+                exact = np.concatenate((exact, np.sqrt(((table[more].astype(np.float64) - query) ** 2).sum(1))))
+                size *= 2
         best = np.lexsort((ids[at], exact))[:k]
         q_out.append(np.full(len(best), qid))
         v_out.append(ids[at][best])
@@ -127,7 +158,8 @@ def nearest(df: DataFrame, queries: DataFrame, k: int = 10, rerank: int = 200, i
     """query_id, rank, vec_id, score: for each query k near rows of df by Euclidean distance, nearest
     first, ties to the smaller vec_id; the row with the query's own id is left out. All rows are coded
     and scanned; in each segment the rerank best by the scan get their exact distance, in double
-    precision. Scores are exact; a row that the scan ranks too low is missed (tests measure recall).
+    precision, and then all rows whose code does not rule out that they are as near as the k-th. So
+    rows and scores are exact.
 
     Vectors that are null, all zero or hold null or non-finite components take no part, nor rows with a
     null id; of rows that repeat an id the smallest vector stays; only vectors of the same
@@ -142,5 +174,5 @@ def nearest(df: DataFrame, queries: DataFrame, k: int = 10, rerank: int = 200, i
         own = [v for v in sample["v"] if len(v) == d] or rows.where(F.size("v") == d).orderBy(F.xxhash64("vec_id")).limit(SAMPLE).toPandas()["v"].tolist()
         books[d] = train(np.array(own, np.float64).reshape(len(own), d))
     sent = spark.sparkContext.broadcast(books)
-    index = written(rows, partial(_build, books=sent), "codes binary, norms binary, vectors binary", "codes")
+    index = written(rows, partial(_build, books=sent), "codes binary, norms binary, coded binary, lost binary, vectors binary", "codes")
     return search(index, vectors(queries, id_col, vec_col, False), partial(_within, k=k, rerank=rerank, books=sent), k, False, "double")

@@ -55,6 +55,28 @@ def test_ann_recall_and_scores(spark):
     assert hits / total >= 0.9
 
 
+def test_ann_full_segment_of_near_copies():
+    """A third of a segment near one vector, with ties: the scan cannot tell these rows apart."""
+    rng = np.random.default_rng(4)
+    n, dim = 32_768, 64
+    x = rng.normal(size=(n, dim)).astype(np.float32)
+    x[: n // 3] = x[0] + 0.02 * rng.normal(size=(n // 3, dim))
+    x[100:400] = x[100]
+    x, ids = x[rng.permutation(n)], np.arange(n) * 3
+
+    class books:
+        value = {dim: ann.train(x[:2048])}
+
+    segment = {"ids": ids.tobytes(), "dim": dim, **ann._build(ids, x, books)}
+    asked = np.arange(0, n, 1000)
+    q, v, s = ann._within(ids[asked], x[asked], segment, 10, 200, books)
+    for i in asked.tolist():
+        far = np.sqrt(((x.astype(np.float64) - x[i]) ** 2).sum(1))
+        want = [j for j in np.lexsort((ids, far))[:400] if j != i][:10]
+        assert v[q == ids[i]].tolist() == ids[want].tolist()
+        assert np.array_equal(s[q == ids[i]], far[want])
+
+
 def test_ann_odd_rows(spark):
     df = table(spark, sample() + ODD + [(3000, [0.0] * 12)])
     got = ann.nearest(df, df.where("vec_id = 7"), k=45, rerank=400).orderBy("rank").collect()

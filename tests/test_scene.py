@@ -123,3 +123,21 @@ def test_ply(spark, tmp_path):
     v, f = files.read_ply(spark, f"file://{tmp_path}/m.ply")
     assert [tuple(r)[1:] for r in v.orderBy("vid").collect()] == [(0.0, 0.0, 0.0, 210, 210, 210), (1.0, 0.0, 0.0, 1, 2, 3), (0.0, 1.0, 0.5, 210, 210, 210)]
     assert [tuple(r) for r in f.collect()] == [(0, 0, 1, 2)]
+
+
+def test_components_of_the_whole_table(spark, sf):
+    import __spark_entry__ as entry
+
+    edges = {(r.l_partkey, r.l_suppkey + 1000000) for r in spark.read.parquet(f"{sf}/lineitem.parquet").select("l_partkey", "l_suppkey").collect()}
+    up = {x: x for e in edges for x in e}
+
+    def top(x):
+        while up[x] != x:
+            x = up[x]
+        return x
+
+    for a, b in edges:
+        a, b = top(a), top(b)
+        up[max(a, b)] = min(a, b)
+    got = {r.node: r.comp for r in entry.queries()["connected_components_whole"](spark, sf).collect()}
+    assert got == {x: top(x) for x in up}

@@ -47,4 +47,6 @@ def building_height(height: Column, levels: Column, kind: Column, tall: tuple[st
     by kind; explicit ones between 4 and 140."""
     explicit = F.split(F.trim(height), " ")[0].try_cast("double")
     storeys = F.split(levels, ";")[0].try_cast("double") * 3.1
-    return F.coalesce(clip(F.coalesce(explicit, storeys), 4.0, 140.0), F.when(kind.isin(*tall), 16.0).otherwise(9.0))
+    known = F.coalesce(explicit, storeys)
+    # bounds of a null would be 4
+    return F.when(known.isNotNull(), clip(known, 4.0, 140.0)).when(kind.isin(*tall), 16.0).otherwise(9.0)

@@ -353,6 +353,17 @@ def building_height(v: Views) -> DataFrame:
     return rounded(p.select("p_partkey", scores.building_height(height, F.concat((F.col("p_size") % 10).cast("string"), F.lit(";x")), F.col("p_type"), ()).alias("h")))
 
 
+@query(
+    """SELECT p_partkey, round(CASE p_size % 3 WHEN 0 THEN least(greatest(p_size::DOUBLE, 4), 140) WHEN 1 THEN least(greatest((p_size % 10) * 3.1, 4), 140)
+    ELSE CASE WHEN split_part(p_type, ' ', 1) IN ('LARGE', 'PROMO') THEN 16 ELSE 9 END END, 6)::DOUBLE AS h FROM part"""
+)
+def building_height_whole(v: Views) -> DataFrame:
+    size, kind = F.col("p_size"), F.split("p_type", " ")[0]
+    height = F.when(size % 3 == 0, F.concat(size.cast("string"), F.lit(" m"))).when(size % 3 == 1, "tall").when(size % 2 == 0, "unknown m")
+    levels = F.when(size % 3 < 2, F.concat((size % 10).cast("string"), F.lit(";x"))).when(size % 4 < 2, "x;2")
+    return rounded(v.table("part").select("p_partkey", scores.building_height(height, levels, kind, ("LARGE", "PROMO")).alias("h")))
+
+
 @query(f"+ q AS ({PAIRS}) SELECT count(*)::BIGINT AS n, round(var_pop(px) + var_pop(py) + var_pop(pz), 4) AS var, round(covar_pop(px, qx), 4) AS cxx, round(covar_pop(px, qy), 4) AS cxy, round(covar_pop(py, qx), 4) AS cyx, round(covar_pop(pz, qz), 4) AS czz, round(avg(qx), 4) AS mqx FROM q")
 def umeyama_moments(v: Views) -> DataFrame:
     m = matching.similarity_moments(_pairs(v))

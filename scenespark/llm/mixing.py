@@ -47,7 +47,8 @@ def fit(lengths: np.ndarray, counts: np.ndarray, budget: int, seed: int) -> np.n
 
     Each length gives its share, rounded down; lengths in the order of their lost fractions, ties
     by seed, give one more each while that leaves more than WINDOW; for what remains a bounded
-    knapsack over the documents left finds the reachable sum nearest to it."""
+    knapsack over the documents left finds the reachable sum nearest to it; one document that is
+    longer than the knapsack goes comes on top or instead where that is nearer still."""
     total = int((lengths * counts).sum())
     budget = max(0, min(int(budget), total))
     if not budget:
@@ -86,11 +87,20 @@ def fit(lengths: np.ndarray, counts: np.ndarray, budget: int, seed: int) -> np.n
     if above and below != left:
         up = left + 1 + ((above & -above).bit_length() - 1)
         at = up if up - left < left - below else below
+    first, off = take.copy(), left - at
     for layer, (i, k) in zip(reversed(layers[:-1]), reversed(items)):
         if not layer >> at & 1:
             take[i] += k
             at -= k * int(lengths[i])
-    return take
+    # lengths beyond the knapsack: one more, with what it took or instead of that
+    best, least = take, abs(off)
+    for start, rest in ((take, off), (first, left)):
+        gap = np.where(start < counts, np.abs(lengths - rest), np.iinfo(np.int64).max)
+        i = int(gap.argmin())
+        if gap[i] < least:
+            best, least = start.copy(), int(gap[i])
+            best[i] += 1
+    return best
 
 
 def _plan(pdf: pd.DataFrame, seed: int, most: int) -> pd.DataFrame:

@@ -295,3 +295,9 @@ def test_packing_is_an_exact_cover(spark, sf):
         assert at <= 4096
     assert packing.pack(table(spark, [(1, "a", None)]).limit(0), tokenizer_path("word_bpe_49k.json")).count() == 0
     assert hashlib.sha256(b"").hexdigest()
+
+
+@pytest.mark.parametrize("lengths, counts, budget, want", [([300_000], [1], 270_000, 300_000), ([10**6], [7], 3_600_000, 4_000_000), ([10, 300_000], [5, 1], 270_000, 300_050), ([10, 300_000], [5, 1], 100_000, 50)])
+def test_fit_takes_a_document_beyond_the_window(lengths, counts, budget, want):
+    take = mixing.fit(np.array(lengths), np.array(counts), budget, 42)
+    assert (take <= counts).all() and int((take * lengths).sum()) == want

@@ -33,7 +33,7 @@ def test_articles_of_the_tables(spark, sf):
     rows = spark.read.parquet(f"{sf}/pages.parquet")
     got = {r.page_id: r.text for r in html_blocks.main_text(rows).collect()}
     for r in rows.collect():
-        assert got[r.page_id] == "\n".join(t for path, t, _ in html_blocks.leaf_blocks(r.html) if any(s[0] == "article" for s in path))
+        assert got[r.page_id] == "\n".join(t for path, t, _ in html_blocks.leaf_blocks(r.html) if path and "article" in path)
 
 
 def test_long_and_broken_pages():
@@ -43,6 +43,82 @@ def test_long_and_broken_pages():
     assert html_blocks.leaf_blocks("<script>x") == [] and html_blocks.leaf_blocks("<" * 5000 + '"' * 5000)
 
 
+@pytest.mark.parametrize("inner", ['<svg class="i"/>', "<title-bar>", "<select-menu>x</select-menu>", "<svg>", "<object>", "<template>", "<svg><path/></svg>", "<select-menu/>", "<TITLE>t</TITLE >"])
+def test_nothing_is_swallowed(inner):
+    got = [t for _, t, _ in html_blocks.leaf_blocks(f"<article><p>One.</p>{inner}<p>Two.</p></article>")]
+    assert [t for t in got if t != "x"] == ["One.", "Two."]
+
+
+def test_deep_and_many_blocks():
+    import tracemalloc
+
+    tracemalloc.start()
+    deep = html_blocks.leaf_blocks("<div class='x y'>a" * 12_000)
+    assert len(deep) == 12_000 and tracemalloc.get_traced_memory()[1] < 60 << 20
+    tracemalloc.stop()
+    model = html_blocks.trained()
+    page = html_blocks.leaf_blocks("<article>" + "<p>Some words of prose, and more.</p>" * 700 + "</article><footer>&copy; 2024</footer>")
+    whole = html_blocks.label(model, [html_blocks.features(page)])[0]
+    assert (html_blocks.label_long(model, page, 64) == whole).all() and whole[:-1].all() and not whole[-1]
+    assert [list(x) for x in html_blocks.main_blocks(model, [page, [], page[:3]], 64)] == [list(whole), [], [True] * 3]
+
+
+# written by hand; the training pages were varied more after the first of these had failed, so the two
+# are no measure, and JUDGED, which was written and run once after that, is one: 12 of its 14 blocks are right
+OTHER = [
+    (
+        """<html lang=de><body class="home blog"><div id="top-bar"><a href="/">Zeitung</a> | <a href="/abo">Abo</a></div><div id="page"><div class="post single" id="post-12"><h1 class="title">Der Fluss</h1>
+        <div class="meta"></div><p>Der Fluss ist nach dem Regen wieder gestiegen, und die Stadt hat die Brücke gesperrt.</p><p>Am Abend war das Wasser noch im Park.</p></div>
+        <div id="sidebar"><h3>Weitere Artikel</h3><ul><li><a href=/1>Das Wetter</a><li><a href=/2>Der Markt</a></ul></div></div><div id="footer">Impressum &copy; 2024 Alle Rechte vorbehalten</div></body></html>""",
+        ["Der Fluss", "Der Fluss ist nach dem Regen wieder gestiegen, und die Stadt hat die Brücke gesperrt.", "Am Abend war das Wasser noch im Park."],
+    ),
+    (
+        """<body><header role=banner><nav role=navigation><a href=/>Home</a><a href=/n>News</a></nav></header><main><section class="article-body"><h2>On bees</h2><p>The hive was moved in the spring, when it was still cold.</p>
+        <blockquote><p>It is the first time that we have done this.</p></blockquote><p>They have been there since.</p></section></main><section id="comments"><h3>2 comments</h3><ol class="comment-list"><li class="comment"><p>Thanks, great article!</p></li></ol></section>
+        <div class="newsletter-signup"><p>Subscribe to our newsletter.</p></div><footer role=contentinfo><p>Terms</p></footer></body>""",
+        ["On bees", "The hive was moved in the spring, when it was still cold.", "It is the first time that we have done this.", "They have been there since."],
+    ),
+]
+
+
+JUDGED = [
+    (
+        """<html lang=fr><body class="recipe-template"><div class="navbar"><ul class="nav"><li><a href=/>Accueil</a></li><li><a href=/r>Recettes</a></li></ul></div>
+        <div class="container"><div class="col-8"><h1 itemprop=name>Tarte aux pommes</h1><p>Une tarte simple, que tout le monde aime bien.</p><h2>Préparation</h2><ol><li>Faire la pâte et la laisser une heure.</li><li>Mettre les pommes dessus.</li></ol></div>
+        <div class="col-4 widget-area"><h4>Articles populaires</h4><ul><li><a href=/2>Le gâteau au chocolat</a></li></ul></div></div><div class="site-footer"><p>Tous droits réservés</p></div></body></html>""",
+        ["Tarte aux pommes", "Une tarte simple, que tout le monde aime bien.", "Préparation", "Faire la pâte et la laisser une heure.", "Mettre les pommes dessus."],
+    ),
+    (
+        """<body><table id=header><tr><td><a href=/>Daily</a></td></tr></table><div id=story><p>Rain fell for two days before the roads were opened.</p><p>No one was hurt.</p></div><div class="share-buttons"><a href=#>Share</a></div></body>""",
+        ["Rain fell for two days before the roads were opened.", "No one was hurt."],
+    ),
+]
+
+
+@pytest.mark.parametrize("page, main", OTHER)
+def test_pages_of_other_make(page, main):
+    blocks = html_blocks.leaf_blocks(page)
+    keep = html_blocks.main_blocks(html_blocks.trained(), [blocks])[0]
+    assert [t for (_, t, _), k in zip(blocks, keep) if k] == main
+
+
+def test_judged_pages():
+    """Wrong are the heading of a list of other articles and a header made as a table."""
+    wrong = 0
+    for page, main in JUDGED:
+        blocks = html_blocks.leaf_blocks(page)
+        keep = html_blocks.main_blocks(html_blocks.trained(), [blocks])[0]
+        wrong += sum((t in main) != k for (_, t, _), k in zip(blocks, keep))
+    assert wrong <= 2
+
+
+def test_words_count():
+    """Blocks in one and the same element, told apart by their words only."""
+    model = html_blocks.trained()
+    score = lambda text: html_blocks._scores(model, *html_blocks._batch([html_blocks.features(html_blocks.leaf_blocks(f"<body><div><p>{text}</p></div></body>"))]))[0][0, 0]
+    assert score("The work of the city that was new had been there for some time.") > score("Subscribe newsletter cookies accept consent privacy policy settings agree partners browser.")
+
+
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, score string, keep string"
 
 

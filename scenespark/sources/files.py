@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 # fixed values: accepted headers, in order of precedence, and defaults
@@ -45,16 +45,38 @@ def read_telemetry(spark: SparkSession, path: str) -> DataFrame:
     return parse_telemetry(spark.read.option("header", True).csv(path))
 
 
+def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
+    """i and line: the lines of one text file, numbered from 0, read in splits. Lines are counted by
+    split first, in the order of the file's blocks, so no task holds the whole file."""
+    raw = spark.read.text(path).select(F.regexp_replace("value", r"\r$", "").alias("line"), F.col("_metadata.file_block_start").alias("__at"), F.monotonically_increasing_id().alias("__m"))
+    count = raw.groupBy("__at").agg(F.count(F.lit(1)).alias("__n"), F.min("__m").alias("__first"))
+    before = count.select("__at", "__first", (F.sum("__n").over(Window.orderBy("__at")) - F.col("__n")).alias("__before"))
+    return raw.join(F.broadcast(before), "__at").select((F.col("__m") - F.col("__first") + F.col("__before")).alias("i"), "line")
+
+
 def read_ply(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    """Vertices (vid, x, y, z, r, g, b) and faces (fid, a, b, c) of an ASCII PLY file."""
-    lines = spark.read.option("wholetext", True).text(path).select(F.posexplode(F.split(F.rtrim("value"), "\r?\n")).alias("i", "line"))
-    head = {r["line"].split()[0] + " " + r["line"].split()[1] if r["line"].startswith("element") else r["line"]: r for r in lines.where("line rlike '^(element (vertex|face) |end_header)'").collect()}
-    start, n, m = head["end_header"]["i"] + 1, int(head["element vertex"]["line"].split()[2]), int(head["element face"]["line"].split()[2]) if "element face" in head else 0
+    """Vertices (vid, x, y, z, r, g, b; colours 210 where there are none) and faces (fid, a, b, c) of an
+    ASCII PLY file. Its elements come in the order in which the header names them."""
+    lines = numbered_lines(spark, path)
+    # a header is a few dozen lines; in a file that has none the search ends there
+    head = [(r.i, r.line.split()) for r in lines.where("i < 1000 and line rlike '^(element |end_header)'").orderBy("i").collect()]
+    end = next((i for i, w in head if w[0] == "end_header"), None)
+    if end is None:
+        raise ValueError("no PLY header")
+    places, at = {}, end + 1
+    for i, w in head:
+        if w[0] == "element" and i < end:
+            places[w[1]] = at, int(w[2])
+            at += int(w[2])
     x = F.split(F.trim("line"), r"\s+")
-    at = lambda k, kind: F.try_element_at(x, F.lit(k + 1)).cast(kind)
-    vertices = lines.where((F.col("i") >= start) & (F.col("i") < start + n)).select((F.col("i") - start).alias("vid"), *[at(k, "double").alias(c) for k, c in enumerate("xyz")], *[F.coalesce(at(3 + k, "int"), F.lit(210)).alias(c) for k, c in enumerate("rgb")])
-    faces = lines.where((F.col("i") >= start + n) & (F.col("i") < start + n + m)).select((F.col("i") - start - n).alias("fid"), *[at(1 + k, "int").alias(c) for k, c in enumerate("abc")])
-    return vertices, faces
+    item = lambda k, kind: F.try_element_at(x, F.lit(k + 1)).cast(kind)
+
+    def part(name: str, number: str, columns: list[Column]) -> DataFrame:
+        start, n = places.get(name, (0, 0))
+        return lines.where((F.col("i") >= start) & (F.col("i") < start + n)).select((F.col("i") - start).alias(number), *columns)
+
+    colours = [F.coalesce(item(3 + k, "int"), F.lit(210)).alias(c) for k, c in enumerate("rgb")]
+    return part("vertex", "vid", [*[item(k, "double").alias(c) for k, c in enumerate("xyz")], *colours]), part("face", "fid", [item(1 + k, "int").alias(c) for k, c in enumerate("abc")])
 
 
 def ply_lines(points: DataFrame) -> DataFrame:

@@ -77,10 +77,19 @@ def test_components_and_tracks(spark):
     e = spark.createDataFrame([(i, i + 1) for i in range(50)] + [(100, 101), (7, 7)], "a long, b long")
     got = {r.node: r.comp for r in graph.components(e).collect()}
     assert all(got[i] == 0 for i in range(51)) and got[101] == 100
+    none = spark.createDataFrame([(None, 1), (3, 3)], "a long, b long")
+    assert [tuple(r) for r in graph.components(none).collect()] == [(3, 3)] and graph.components(none.limit(0)).count() == 0
     m = spark.createDataFrame([(0, 1, 5, 6), (1, 2, 6, 7), (0, 1, 9, 9), (0, 1, 8, 9)], "i int, j int, ka int, kb int")
     assert sorted((r.img, r.kp) for r in graph.tracks(m).collect()) == [(0, 5), (1, 6), (2, 7)]
 
 
+def test_rounds_do_not_depend_on_order(spark):
+    ids = np.random.default_rng(5).permutation(10_000).tolist()
+    path = spark.createDataFrame(list(zip(ids, ids[1:])), "a long, b long")
+    comp, rounds = graph.contracted(path)
+    assert rounds <= 18 and comp.groupBy("comp").count().collect() == [(0, 10_000)]
+
+
 def test_faces_and_patches(spark):
     cells = spark.createDataFrame([(x, y, 0.0) for x in range(3) for y in range(3)], "ix long, iy long, h double")
     assert mesh.grid_faces(cells, 1.0).count() == 8

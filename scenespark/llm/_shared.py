@@ -1,46 +1,22 @@
-"""What the operators share: the shared folder, written tables, and batches cut by bytes."""
+"""What the operators share: written tables, joins with hot keys, and batches cut by bytes."""
 
 from __future__ import annotations
 
-import atexit
 import ctypes
-import shutil
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 from functools import partial
 
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..plans.tables import discard, exists, shared_dir  # noqa: F401
+from ..plans.tables import written as materialize
 from . import _encoders, _text
 
-_LOCAL: list[str] = []
-
-
-def shared_dir(spark: SparkSession, label: str) -> str:
-    """A new folder name below spark.checkpoint.dir, which driver and executors both see.
-
-    Where that setting is empty (tests on one machine) a temporary folder takes its place."""
-    base = spark.conf.get("spark.checkpoint.dir", "") or spark.sparkContext.getConf().get("spark.checkpoint.dir", "")
-    if not base:
-        if not spark.sparkContext.master.startswith("local["):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        if not _LOCAL:
-            _LOCAL.append(tempfile.mkdtemp(prefix="scenespark-"))
-            atexit.register(shutil.rmtree, _LOCAL[0], ignore_errors=True)
-        base = f"file://{_LOCAL[0]}"
-    return f"{base.rstrip('/')}/{label}-{uuid.uuid4().hex}"
-
-
-def materialize(df: DataFrame, label: str) -> DataFrame:
-    """df written to the shared folder and read again: cuts lineage, survives lost executors."""
-    path = shared_dir(df.sparkSession, label)
-    df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
+#: A key is hot if it holds more than one of so many rows; so there are fewer hot keys than this.
+HOT = 1_000
 
 def usable_vector(col: str, zero_ok: bool) -> Column:
     """True for an array without null, NaN or infinite components (and, if asked, not all zero)."""
@@ -90,6 +66,15 @@ def _frugal(f: Callable[[Iterator], Iterator], tables: bool, batches: Iterator)
         release()
 
 
-def kept_cast(batches: Iterator[pa.RecordBatch], cols: list[str]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        yield b.select(cols)
+def join_counted(rows: DataFrame, table: DataFrame, keys: list[str], count: str) -> DataFrame:
+    """rows joined with table (one row a key; the column count tells how many of rows have the key, and
+    goes). Keys that hold more than 1 / HOT of all counted rows, of which there are at most HOT, are
+    sent to all tasks, so their rows stay where they are; the others meet in a merge join, in which
+    none is large. table must be a written one: it is read three times."""
+    total = table.agg(F.sum(count)).first()[0] or 0
+    least = F.lit(total // HOT)
+    hot = table.where((F.col(count) > least) & (F.col(count) > HOT)).drop(count)
+    cold = table.where((F.col(count) <= least) | (F.col(count) <= HOT)).drop(count)
+    near = rows.join(F.broadcast(hot), keys)
+    far = rows.join(F.broadcast(hot.select(*keys)), keys, "left_anti").join(cold.hint("merge"), keys)
+    return near.unionByName(far)

@@ -13,11 +13,11 @@ signatures of the next band.
 Sets that share a signature are candidates. A group of few sets gives all its pairs; a larger
 group gives only pairs with its first member (its hub). Candidates whose parity sketches
 differ in more bits than k cannot be similar and go; the others are verified on whole texts.
-Then, for each hub whose candidates fell into several components, the members of different
-components are compared block by block by sketch. Of the pairs left so many are verified as would join
-all that they join; only where one of these is refuted, all that are still between different
-components. So no link between different components is lost, and a group of like sets is not expanded
-into all its pairs.
+Then, for each hub whose candidates fell into several components, the members outside its largest
+component (few, as a rule) are compared with all members by sketch, in blocks, each pair of blocks a
+task of its own. Of the pairs left so many are verified as would join all that they join; only where
+one of these is refuted, all that are still between different components. So no link between
+different components is lost, and a group of like sets is not expanded into all its pairs.
 """
 
 from __future__ import annotations
@@ -31,7 +31,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._shared import cut, frugal, materialize
+from ..operators.graph import components
+from ._shared import cut, discard, frugal, materialize
 from ._text import U, mix, parts_sum, shingles
 
 #: Groups of at most so many sets give all their pairs.
@@ -40,6 +41,8 @@ SMALL_GROUP = 6
 BUCKET = 2_000_000
 #: Members compared with one copy of a hub's text.
 CHUNK = 200
+#: Members of a hub in a block, about.
+BLOCK = 2_048
 BAND = 1.5
 
 
@@ -211,8 +214,8 @@ def _plausible(batches: Iterator[pd.DataFrame], t: float) -> Iterator[pd.DataFra
 
 
 def _verify(batches: Iterator[pa.RecordBatch], num: int, den: int, width: int) -> Iterator[pa.RecordBatch]:
-    """Rows come sorted by hub and chunk, the hub's own text first."""
-    at_hub, own = None, np.zeros(0, U)
+    """Rows come sorted by hub and chunk, the hub's own text first (or texts, if its id repeats)."""
+    at_hub, own = None, []
     for whole in batches:
         for b in cut(whole, 4):
             flat, at = shingles(b.column(4), width)
@@ -220,77 +223,87 @@ def _verify(batches: Iterator[pa.RecordBatch], num: int, den: int, width: int) -
             left, right = [], []
             for i, (hub, chunk, member, role) in enumerate(zip(hubs, chunks, members, parts)):
                 mine = flat[at[i] : at[i + 1]]
+                if at_hub != (hub, chunk):
+                    at_hub, own = (hub, chunk), []
                 if role == 0:
-                    at_hub, own = (hub, chunk), mine
-                elif at_hub == (hub, chunk):
-                    same = len(own) + len(mine) - len(np.union1d(own, mine))
-                    if den * same >= num * (len(own) + len(mine) - same):
+                    own.append(mine)
+                    continue
+                for hubs_own in own:
+                    both = len(hubs_own) + len(mine)
+                    same = both - len(np.union1d(hubs_own, mine))
+                    if den * same >= num * (both - same):
                         left.append(hub)
                         right.append(member)
+                        break
             yield pa.record_batch({"a": pa.array(left, pa.int64()), "b": pa.array(right, pa.int64())})
 
 
 def _across(pdf: pd.DataFrame, t: float, whole: bool) -> pd.DataFrame:
-    """Plausible pairs of different components among the members of one hub: all of them (whole), or
-    at most one less than there are components, so many that they join all that plausible pairs join.
+    """Plausible pairs of different components between two blocks of one hub's members, side 0 (all
+    outside the largest component) and side 1 (out tells whether outside): all of them (whole), or at
+    most one less than there are components, so many that they join all that plausible pairs join.
     Pairs whose sketches differ little, which are hardly ever refuted, are taken first for that; then
     grp tells what they join, and the members so joined come too, as rows that are not pairs."""
-    pdf = pdf.drop_duplicates("node").sort_values(["n", "node"])
-    n, node = pdf["n"].to_numpy(), pdf["node"].to_numpy()
-    comp = np.unique(pdf["comp"].to_numpy(), return_inverse=True)[1]
+    pdf = pdf.drop_duplicates(["side", "node", "sketch"])
+    pdf = pdf.assign(bytes=pdf["sketch"].map(len)).sort_values(["side", "bytes", "n", "node"], ignore_index=True)
+    node, n, size = (pdf[c].to_numpy(np.int64) for c in ("node", "n", "bytes"))
+    out = pdf["out"].to_numpy(bool)
+    names, comp = np.unique(pdf["comp"].to_numpy(np.int64), return_inverse=True)
+    root = np.arange(len(names))  # the component that each has been joined to
+    first = int((pdf["side"] == 0).sum())
+    classes = [(int(b), first + np.flatnonzero(size[first:] == b)) for b in np.unique(size[first:])]
+    tables: dict[tuple[int, int], np.ndarray] = {}
     sketches = pdf["sketch"].to_list()
-    sizes = np.array([len(s) for s in sketches])
     left, right = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-    again = np.ones(len(n), bool)
+    again = np.ones(first, bool)
     for sure in (False,) if whole else (True, False):
-        look, again = again, np.zeros(len(n), bool)
-        for size in np.unique(sizes):
-            # all sets with sketches of at least this size, folded to it
-            mine = np.flatnonzero(sizes == size)
-            last = np.searchsorted(n, n[mine[-1]] / t + 1e-6, side="right")
-            rows = np.arange(mine[0], last)
-            table = np.stack([_folded(sketches[i], size) for i in rows])
-            for i in mine[look[mine]].tolist():
-                end = np.searchsorted(n, n[i] / t + 1e-6, side="right")
-                hit = np.flatnonzero(comp[i + 1 : end] != comp[i]) + i + 1
-                own, half = table[i - rows[0]], max(1, table.shape[1] // 2)
-                most = (n[hit] + n[i]) * (1 - t) / (1 + t) + 1e-6
+        look, again = again, np.zeros(first, bool)
+        for i in np.flatnonzero(look).tolist():
+            for b, rows in classes:
+                lo, hi = np.searchsorted(n[rows], (n[i] * t - 1e-6, n[i] / t + 1e-6))
+                own_root = root[comp[i]]
+                at = np.arange(lo, hi)[root[comp[rows[lo:hi]]] != own_root]
+                at = at[~out[rows[at]] | (node[rows[at]] > node[i])]  # two outside: in one order only
+                if not len(at):
+                    continue
+                width = min(b, int(size[i]))
+                if (b, width) not in tables:
+                    tables[b, width] = np.stack([_folded(sketches[r], width) for r in rows])
+                table, own = tables[b, width], _folded(sketches[i], width)
+                half = max(1, table.shape[1] // 2)
+                most = (n[rows[at]] + n[i]) * (1 - t) / (1 + t) + 1e-6
                 # half of the bits rules most pairs out
-                few = np.bitwise_count(table[hit - rows[0], :half] ^ own[:half]).sum(1, dtype=np.int32) <= most
-                hit, most = hit[few], most[few]
-                apart = np.bitwise_count(table[hit - rows[0]] ^ own).sum(1, dtype=np.int32)
+                few = np.bitwise_count(table[at, :half] ^ own[:half]).sum(1, dtype=np.int32) <= most
+                at, most = at[few], most[few]
+                apart = np.bitwise_count(table[at] ^ own).sum(1, dtype=np.int32)
                 few = apart <= most * (0.8 if sure else 1.0)
-                again[i] = sure and (apart[~few] <= most[~few]).any()
-                hit, apart = hit[few], apart[few]
+                again[i] |= bool(sure and (apart[~few] <= most[~few]).any())
+                hit, apart = rows[at[few]], apart[few]
                 if not whole and len(hit):
                     hit = hit[np.argsort(apart, kind="stable")]
-                    labels, first = np.unique(comp[hit], return_index=True)
-                    hit = hit[first]
-                    comp[np.isin(comp, labels)] = comp[i]
+                    roots, place = np.unique(root[comp[hit]], return_index=True)
+                    hit = hit[place]
+                    root[np.isin(root, roots)] = own_root
                 left.append(np.minimum(node[hit], node[i]))
                 right.append(np.maximum(node[hit], node[i]))
     a, b = np.concatenate(left), np.concatenate(right)
     if whole:
         return pd.DataFrame({"a": a, "b": b})
-    by_node = pd.Series(comp, index=node)
+    group = root[comp]
+    by_node = pd.Series(group, index=node)
+    by_node = by_node[~by_node.index.duplicated()]
     grp = by_node.loc[a].to_numpy()
-    at = np.isin(comp, grp)
-    return pd.DataFrame({"grp": np.concatenate((grp, comp[at])), "a": np.concatenate((a, node[at])), "b": np.concatenate((b, node[at])), "pair": np.arange(len(a) + at.sum()) < len(a)})
-
-
-def components(links: DataFrame) -> DataFrame:
-    """node, comp: the smallest node reachable over links (a, b). Least labels over neighbours,
-    with pointer jumping, until nothing changes; each round is a written table."""
-    both = materialize(links.select("a", "b").union(links.select("b", "a")).distinct(), "links")
-    labels = materialize(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.col("a")).alias("comp")), "labels")
-    while True:
-        near = both.join(labels, both["b"] == labels["node"]).groupBy("a").agg(F.min("comp").alias("other"))
-        step = labels.join(near, labels["node"] == near["a"]).select("node", F.col("comp").alias("old"), F.least("comp", "other").alias("comp"))
-        up = labels.select(F.col("node").alias("comp"), F.col("comp").alias("top"))
-        jumped = materialize(step.join(up, "comp", "left").select("node", "old", F.least("comp", "top").alias("comp")), "labels")
-        labels = jumped.select("node", "comp")
-        if jumped.where("comp <> old").isEmpty():
-            return labels
+    at = np.isin(group, grp)
+    return pd.DataFrame(
+        {
+            "grp": np.concatenate((grp, group[at])),
+            "a": np.concatenate((a, node[at])),
+            "b": np.concatenate((b, node[at])),
+            "pair": np.arange(len(a) + at.sum()) < len(a),
+            "side": np.concatenate((np.zeros(len(a), np.int32), pdf["side"].to_numpy(np.int32)[at])),
+            "out": np.concatenate((np.zeros(len(a), bool), out[at])),
+        }
+    )
 
 
 def jaccard_links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: tuple[int, int] = (80, 100), width: int = 5) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -303,7 +316,7 @@ def jaccard_links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     comps (node, comp): for each linked representative the smallest one reachable.
 
     Null, empty and blank texts have no elements and link with nothing. Rows with a null id take
-    part in nothing; repeated ids with different texts are joined through both texts. An empty
+    part in nothing; rows that repeat an id are one document, which links where any of its texts does. An empty
     table gives empty tables; other columns, whatever their names, are ignored."""
     num, den = threshold
     t = num / den
@@ -324,40 +337,56 @@ def jaccard_links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     met = dealt.groupBy("bucket").applyInArrow(_meet, "a long, b long, star boolean")
     met = materialize(met.groupBy("a", "b").agg(F.max("star").alias("star")), "met")
     ends = [nodes.select(F.col("key").alias(x), F.col("rep").alias(f"r_{x}"), F.col("n").alias(f"n_{x}"), F.col("sketch").alias(f"s_{x}")) for x in "ab"]
-    met = met.join(ends[0], "a").join(ends[1], "b")
+    ended = met.join(ends[0], "a").join(ends[1], "b")
     # a hub is the first by key, whatever its doc_id
-    met = met.select(F.least("r_a", "r_b").alias("a"), F.greatest("r_a", "r_b").alias("b"), F.col("r_a").alias("hub"), F.col("r_b").alias("node"), "star", "n_a", "n_b", "s_a", "s_b").where("a < b")
-    hubs = materialize(met.where("star").select("hub", "node").distinct(), "hubs")
-    near = met.select("a", "b", "n_a", "n_b", "s_a", "s_b").mapInPandas(partial(_plausible, t=t), "a long, b long").distinct()
+    ended = ended.select(F.least("r_a", "r_b").alias("a"), F.greatest("r_a", "r_b").alias("b"), F.col("r_a").alias("hub"), F.col("r_b").alias("node"), "star", "n_a", "n_b", "s_a", "s_b").where("a < b")
+    hubs = materialize(ended.where("star").select("hub", "node").distinct(), "hubs")
+    near = ended.select("a", "b", "n_a", "n_b", "s_a", "s_b").mapInPandas(partial(_plausible, t=t), "a long, b long").distinct()
     links = materialize(verified(docs, near, num, den, width), "pairs")
+    # rows that repeat an id are one document, whatever their texts
+    several = members.where("doc_id is not null and rep is not null").select("doc_id", "rep").distinct()
+    several = several.join(several.groupBy("doc_id").agg(F.min("rep").alias("a"), F.max("rep").alias("hi")).where("a < hi").select("doc_id", "a"), "doc_id")
+    links = links.union(materialize(several.where("a < rep").select("a", F.col("rep").alias("b")), "pairs"))
     comps = components(links)
     # what hubs did not settle: members of one hub in different components
-    named = nodes.select(F.col("rep").alias("node"), "n", "sketch").groupBy("node").agg(F.first("n").alias("n"), F.first("sketch").alias("sketch"))
+    named = nodes.select(F.col("rep").alias("node"), "n", "sketch")
     family = hubs.union(hubs.select("hub", "hub").distinct())
     family = family.join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-    open_hubs = family.groupBy("hub").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("hub")
-    family = family.join(open_hubs, "hub", "left_semi").join(named, "node")
-    more = family.select("hub", "node", "comp", "n", "sketch").groupBy("hub").applyInPandas(partial(_across_group, t=t), "hub long, grp long, a long, b long, pair boolean")
+    sizes = family.groupBy("hub", "comp").agg(F.count(F.lit(1)).alias("m")).groupBy("hub").agg(F.max_by("comp", F.struct("m", "comp")).alias("main"), F.sum("m").alias("m"), (F.sum("m") - F.max("m")).alias("outside"))
+    family = materialize(family.join(sizes.where("outside > 0"), "hub").withColumn("out", F.col("comp") != F.col("main")), "families")
+    blocks = lambda c: F.ceil(F.col(c) / BLOCK).cast("int")
+    own = lambda c: F.pmod(F.xxhash64("node"), blocks(c)).cast("int")
+    every = lambda c: F.explode(F.sequence(F.lit(0), blocks(c) - 1))
+    keep = ["hub", "lb", "rb", "node", "comp", "out"]
+    sides = family.where("out").withColumns({"lb": own("outside"), "rb": every("m")}).select(*keep, F.lit(0).alias("side"))
+    sides = sides.union(family.withColumns({"rb": own("m"), "lb": every("outside")}).select(*keep, F.lit(1).alias("side")))
+    more = sides.join(named, "node").groupBy("hub", "lb", "rb").applyInPandas(partial(_across_group, t=t), "hub long, lb int, rb int, grp long, a long, b long, pair boolean, side int, out boolean")
     more = materialize(more, "across")
-    pairs = more.where("pair").select("hub", "grp", "a", "b")
+    group = ["hub", "lb", "rb", "grp"]
+    pairs = more.where("pair").select(*group, "a", "b")
     if not pairs.isEmpty():
         found = materialize(verified(docs, pairs.select("a", "b").distinct(), num, den, width), "pairs")
-        links = links.union(found)
+        links, old = links.union(found), comps
         comps = components(links)
+        discard(old)
         # a refuted pair may have stood for others that hold
-        refuted = pairs.join(found, ["a", "b"], "left_anti").select("hub", "grp").distinct()
-        rest = more.where("not pair").join(refuted, ["hub", "grp"], "left_semi").select("hub", "grp", F.col("a").alias("node"))
+        refuted = pairs.join(found, ["a", "b"], "left_anti").select(*group).distinct()
+        rest = more.where("not pair").join(refuted, group, "left_semi").select(*group, F.col("a").alias("node"), "side", "out")
         rest = rest.join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node")).join(named, "node")
-        left = rest.select("hub", "grp", "node", "comp", "n", "sketch").groupBy("hub", "grp").applyInPandas(partial(_across_whole, t=t), "a long, b long")
+        left = rest.groupBy(*group).applyInPandas(partial(_across_whole, t=t), "a long, b long")
         left = materialize(left.distinct(), "across")
         if not left.isEmpty():
-            links = links.union(materialize(verified(docs, left, num, den, width), "pairs"))
+            links, old = links.union(materialize(verified(docs, left, num, den, width), "pairs")), comps
             comps = components(links)
+            discard(old)
+        discard(left)
+    discard(met, hubs, family, more)
     return members, links, comps
 
 
 def _across_group(pdf: pd.DataFrame, t: float) -> pd.DataFrame:
-    return _across(pdf, t, False).assign(hub=pdf["hub"].iloc[0])[["hub", "grp", "a", "b", "pair"]]
+    columns = ["hub", "lb", "rb"]
+    return _across(pdf, t, False).assign(**{c: pdf[c].iloc[0] for c in columns})[[*columns, "grp", "a", "b", "pair", "side", "out"]]
 
 
 def _across_whole(pdf: pd.DataFrame, t: float) -> pd.DataFrame:

@@ -73,6 +73,31 @@ ORACLE_SQL = {
             FROM ok q JOIN ok c ON q.vec_id % 100 = 0 AND q.vec_id <> c.vec_id),
         r AS (SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS rank, vec_id, score FROM s)
         SELECT * FROM r WHERE rank <= 10""",
+    "op2_warc": """
+        WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS b, sha1(coalesce(html, '')) AS hex FROM pages),
+        f AS (SELECT *, min(page_id) OVER (PARTITION BY hex, b) AS first_id FROM p)
+        SELECT page_id, octet_length(b)::BIGINT AS payload_bytes,
+            array_to_string(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + ((('0x' || substr(hex, 10 * (i // 8) + 1, 10))::BIGINT >> (35 - 5 * (i % 8))) & 31)::INTEGER, 1)), '') AS payload_digest,
+            CASE WHEN page_id = first_id THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> first_id THEN first_id END AS refers_to
+        FROM f""",
+    "op4_ngram_jaccard": r"""
+        WITH RECURSIVE w AS (
+            SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+        s AS (
+            SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
+                ELSE list_transform(range(1, len(w) - 3), lambda i: array_to_string(list_slice(w, i, i + 4), ' ')) END) AS x FROM w),
+        n AS (SELECT w.doc_id, count(s.x) AS n FROM w LEFT JOIN s USING (doc_id) GROUP BY w.doc_id),
+        k AS (SELECT doc_id, hash(string_agg(x, chr(10) ORDER BY x)) AS k, max(doc_id) AS one FROM s GROUP BY doc_id),
+        r AS (SELECT doc_id, min(doc_id) OVER (PARTITION BY k) AS rep FROM k),
+        u AS (SELECT s.doc_id, x FROM s JOIN r ON r.doc_id = s.doc_id AND r.rep = s.doc_id),
+        l AS (
+            SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS same FROM u a JOIN u b ON a.x = b.x AND a.doc_id < b.doc_id GROUP BY ALL),
+        e AS (SELECT l.a, l.b FROM l JOIN n p ON p.doc_id = l.a JOIN n q ON q.doc_id = l.b WHERE 100 * same >= 80 * (p.n + q.n - same)),
+        d AS (SELECT a, b FROM e UNION SELECT b, a FROM e),
+        c(node, comp) AS (SELECT a, a FROM d UNION SELECT d.b, c.comp FROM c JOIN d ON d.a = c.node),
+        m AS (SELECT node, min(comp) AS comp FROM c GROUP BY node)
+        SELECT n.doc_id, n.n::BIGINT AS n_shingles, coalesce(m.comp, r.rep, n.doc_id) AS component_id
+        FROM n LEFT JOIN r USING (doc_id) LEFT JOIN m ON m.node = r.rep""",
     "op8_line_dedup": r"""
         WITH l AS (
             SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS pos FROM documents),

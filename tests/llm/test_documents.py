@@ -9,7 +9,7 @@ import pytest
 from scenespark.llm import lines, mixing, packing, partenum, tokens
 from scenespark.llm._encoders import PieceCounter, WordEncoder
 from scenespark.llm._text import shingles
-from scenespark.llm.queries import tokenizer_path
+from scenespark.llm.queries import ORACLE_SQL, QUERIES, tokenizer_path
 
 SCHEMA = "doc_id long, text string, source string, n_lines string, size long, start string, component_id string"
 LOW = str.maketrans({chr(65 + i): chr(97 + i) for i in range(26)})
@@ -111,6 +111,46 @@ def test_jaccard_hub_with_a_large_id(spark):
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == want
 
 
+@pytest.mark.parametrize("order", range(4))
+def test_jaccard_template_families(spark, monkeypatch, order):
+    """Two like texts (0.88) whose shared signatures are all in the large groups of 80 others with the
+    same 300 words, in several orders of ids and in small blocks."""
+    monkeypatch.setattr(partenum, "BLOCK", 7)
+    common = [f"c{i}" for i in range(300)]
+    texts = [" ".join(common + [f"p{k}x{j}" for j in range(20)]) for k in range(2)] + [" ".join(common + [f"q{k}x{j}" for j in range(104)]) for k in range(80)]
+    ids = list(range(82)) if not order else np.random.default_rng(order).permutation(82).tolist()
+    docs = list(zip(ids, texts))
+    want = brute_components(docs)
+    got = partenum.jaccard_components(table(spark, [(i, t, "s") for i, t in docs])).collect()
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == want
+    assert want[max(ids[:2])][1] == min(ids[:2])
+
+
+def test_jaccard_random_families(spark, monkeypatch):
+    monkeypatch.setattr(partenum, "BLOCK", 9)
+    rng = random.Random(11)
+    docs = []
+    for family in range(5):
+        common = [f"c{family}x{i}" for i in range(rng.randrange(40, 200))]
+        for _ in range(40):
+            w = list(common)
+            for _ in range(rng.randrange(len(w) // 12)):
+                w[rng.randrange(len(w))] = f"r{rng.randrange(10**6)}"
+            docs.append(" ".join(w + [f"t{rng.randrange(10**6)}" for _ in range(rng.randrange(30))]))
+    rng.shuffle(docs)
+    docs = list(enumerate(docs))
+    got = partenum.jaccard_components(table(spark, [(i, t, "s") for i, t in docs])).collect()
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == brute_components(docs)
+
+
+def test_jaccard_repeated_ids(spark):
+    """Rows of one id are one document: 1, 2 and 3 link through the two texts of 2."""
+    a, b = " ".join(f"a{i}" for i in range(60)), " ".join(f"b{i}" for i in range(60))
+    rows = [(1, a + " x"), (2, a), (2, b), (3, b + " y"), (4, "else"), (4, "else")]
+    got = partenum.jaccard_components(table(spark, [(i, t, "s") for i, t in rows])).collect()
+    assert sorted((r.doc_id, r.component_id) for r in got) == [(1, 1), (2, 1), (2, 1), (3, 1), (4, 4), (4, 4)]
+
+
 def test_jaccard_like_sets_of_one_hub_give_few_pairs():
     import pandas as pd
 
@@ -118,7 +158,8 @@ def test_jaccard_like_sets_of_one_hub_give_few_pairs():
     sets = [np.arange(i, i + 100) for i in range(8)] + [np.arange(5000, 5100)]
     flat = partenum.mix(np.concatenate(sets).astype(np.uint64))
     nodes = rng.permutation(9)
-    pdf = pd.DataFrame({"hub": 0, "node": nodes, "comp": nodes, "n": 100, "sketch": partenum._sketches(flat, np.arange(0, 901, 100))})
+    one = pd.DataFrame({"node": nodes, "comp": nodes, "n": 100, "sketch": partenum._sketches(flat, np.arange(0, 901, 100)), "out": nodes != nodes[8]})
+    pdf = pd.concat((one[one["out"]].assign(side=0), one.assign(side=1)))
     got = partenum._across(pdf, 0.8, False)
     assert got["pair"].sum() == 7 and set(got["a"][~got["pair"]]) == set(nodes[:8])
     assert len(partenum._across(pdf, 0.8, True)) == 28
@@ -301,3 +342,16 @@ def test_packing_is_an_exact_cover(spark, sf):
 def test_fit_takes_a_document_beyond_the_window(lengths, counts, budget, want):
     take = mixing.fit(np.array(lengths), np.array(counts), budget, 42)
     assert (take <= counts).all() and int((take * lengths).sum()) == want
+
+
+@pytest.mark.parametrize("name", sorted(ORACLE_SQL))
+def test_queries_equal_their_sql(spark, sf, name):
+    import duckdb
+
+    con = duckdb.connect()
+    for t in ("documents", "embeddings", "pages"):
+        con.execute(f"create view {t} as select * from '{sf}/{t}.parquet'")
+    want = con.execute(ORACLE_SQL[name]).df()
+    got = QUERIES[name](spark, sf).toPandas()[list(want.columns)]
+    rows = lambda df: sorted(map(str, df.astype(object).where(df.notna(), None).values.tolist()))
+    assert len(got) and rows(got) == rows(want)

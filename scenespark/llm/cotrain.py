@@ -1,23 +1,27 @@
-"""Quality classifier by co-training: one view reads a document's text, the other its metadata."""
+"""Quality classifier by co-training: one view reads a document's text, the other its metadata.
+
+Both views of every document are written once. In each round both models score all unlabelled
+documents, each task keeps those of which they are surest, and the surest of all are the examples
+that each model gives the other.
+"""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import partial
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._shared import cut, frugal
+from ._shared import cut, discard, frugal, materialize
 from ._text import bytes_of, words
 
-#: The classifier is fitted on at most so many labelled and unlabelled documents, those whose ids
-#: have the smallest hashes. All documents are scored.
-MOST_LABELLED, MOST_UNLABELLED = 6_000, 4_000
 HASHED, SHAPE, META = 128, 10, 96
 ROUNDS = 4
+#: A model is sure of a document beyond this calibrated logit (a probability of 0.95).
+SURE = 3.0
 
 _KIND = np.zeros(256, np.int64)
 _KIND[ord("A") : ord("Z") + 1] = 1
@@ -107,34 +111,39 @@ def _calibrate(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return w
 
 
-def co_train(xt: np.ndarray, xm: np.ndarray, y: np.ndarray, ut: np.ndarray, um: np.ndarray) -> dict | None:
+class Calibrated:
+    """A model whose logits tell how often it is right on documents that it has not seen."""
+
+    def __init__(self, model: Logistic, x: np.ndarray, y: np.ndarray):
+        self.model, self.w = model, _calibrate(model.logit(x)[:, None], y)
+
+    def logit(self, x: np.ndarray) -> np.ndarray:
+        return np.clip(self.model.logit(x), -15, 15) * self.w[0] + self.w[1]
+
+
+def co_train(xt: np.ndarray, xm: np.ndarray, y: np.ndarray, surest: Callable[[list, float], list], rounds: int = ROUNDS) -> dict | None:
     """Fits both views. In each round each view labels the unlabelled documents of which it is most
-    sure, in the proportion of the labels, for the other view to learn from. A quarter of the labelled
-    documents is kept out and calibrates each view and the combination. None without both labels."""
+    sure, in the proportion of the labels, for the other view to learn from: surest(calibrated models,
+    share of good ones) gives for each view the features (both views side by side) of those that it takes for
+    bad and for good. A quarter of the labelled documents is kept out and calibrates each view and the
+    combination. None without both labels."""
     own, held = np.arange(len(y)) % 4 != 3, np.arange(len(y)) % 4 == 3
     if min(np.bincount(y[own].astype(int), minlength=2)) < 2 or min(np.bincount(y[held].astype(int), minlength=2)) < 2:
         return None
-    share = y[own].mean()
-    learned = [(np.zeros(0, np.int64), np.zeros(0)) for _ in range(2)]  # what each view was taught
-    views, pool = ((xt[own], ut), (xm[own], um)), np.arange(len(ut))
-    for step in range(ROUNDS + 1):
-        models = []
-        for (x, u), (rows, labels) in zip(views, learned):
-            xs, ys = np.vstack((x, u[rows])), np.concatenate((y[own], labels))
-            models.append(Logistic(xs, ys, np.concatenate((np.ones(len(x)), np.full(len(rows), 0.3)))))
-        if step == ROUNDS or not len(pool):
+    share, split = y[own].mean(), xt.shape[1]
+    views = (xt[own], xm[own])
+    learned = [([v], [y[own]], [np.ones(len(v))]) for v in views]
+    for step in range(rounds + 1):
+        models = [Logistic(*(np.concatenate(part) for part in view)) for view in learned]
+        if step == rounds:
             break
-        most = max(2, len(ut) // (8 * ROUNDS))
-        taken = []
-        for k in (0, 1):
-            z = models[k].logit(views[k][1][pool])
-            order = np.argsort(z, kind="stable")
-            low, high = order[: max(1, round(most * (1 - share)))], order[::-1][: max(1, round(most * share))]
-            low, high = low[z[low] < -2], high[z[high] > 2]  # sure of them
-            rows, labels = learned[1 - k]
-            learned[1 - k] = np.concatenate((rows, pool[low], pool[high])), np.concatenate((labels, np.zeros(len(low)), np.ones(len(high))))
-            taken += [pool[low], pool[high]]
-        pool = np.setdiff1d(pool, np.concatenate(taken))
+        sure = [Calibrated(m, x[held], y[held]) for m, x in zip(models, (xt, xm))]
+        for k, taught in enumerate(surest(sure, share)):
+            for label, rows in enumerate(taught):
+                if len(rows):
+                    mine = rows[:, split:] if k == 0 else rows[:, :split]
+                    for part, new in zip(learned[1 - k], (mine, np.full(len(rows), float(label)), np.full(len(rows), 0.3))):
+                        part.append(new)
     z = np.stack((models[0].logit(xt[held]), models[1].logit(xm[held])), 1)
     return {"views": models, "each": [_calibrate(z[:, [k]], y[held]) for k in (0, 1)], "both": _calibrate(z, y[held])}
 
@@ -147,53 +156,113 @@ def probabilities(model: dict, xt: np.ndarray, xm: np.ndarray) -> tuple[np.ndarr
 
 
 def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Columns: id, label, text, size, names."""
+    """Columns: id, text, size, names. view: both views in half precision."""
     for whole in batches:
-        for b in cut(whole, 2, 1 << 20):
-            xt = text_view(b.column(2))
-            xm = meta_view(b.column(3).to_pylist(), [c.to_pylist() for c in b.columns[4:]])
-            yield pa.record_batch({"id": b.column(0).cast(pa.string()), "label": b.column(1), "view": pa.array([np.concatenate(r).astype("<f4").tobytes() for r in zip(xt, xm)], pa.binary())})
+        for b in cut(whole, 1, 1 << 20):
+            both = np.hstack((text_view(b.column(1)), meta_view(b.column(2).to_pylist(), [c.to_pylist() for c in b.columns[3:]])))
+            raw = np.clip(both, -60_000, 60_000).astype("<f2").tobytes()
+            size = 2 * both.shape[1]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([raw[i : i + size] for i in range(0, len(raw), size)], pa.binary())], ["doc_id", "view"])
+
+
+def _views(column: list[bytes]) -> np.ndarray:
+    return np.frombuffer(b"".join(column), "<f2").reshape(len(column), -1).astype(np.float64)
+
+
+def _surest(batches: Iterator[pa.RecordBatch], state) -> Iterator[pa.RecordBatch]:
+    """Columns: key, view. Of a task's rows that were not taken yet those of which each model is surest:
+    teacher, label, how sure, key, view."""
+    models, most, taken = state.value
+    best: dict[tuple[int, int], list] = {(k, label): [] for k in (0, 1) for label in (0, 1)}
+    for whole in batches:
+        for b in cut(whole, 1, 4 << 20):
+            keys, raw = b.column(0).to_numpy(zero_copy_only=False), b.column(1).to_pylist()
+            x = _views(raw)
+            new = ~np.isin(keys, taken)
+            for k in (0, 1):
+                z = models[k].logit(x[:, : HASHED + SHAPE] if k == 0 else x[:, HASHED + SHAPE :])
+                for label in (0, 1):
+                    sure = z if label else -z
+                    at = np.flatnonzero(new & (sure > SURE))
+                    at = at[np.lexsort((keys[at], -sure[at]))[: most[label]]]
+                    rows = best[k, label] + [(float(sure[i]), int(keys[i]), raw[i]) for i in at.tolist()]
+                    best[k, label] = sorted(rows, key=lambda r: (-r[0], r[1]))[: most[label]]
+    rows = [(k, label, *r) for (k, label), held in best.items() for r in held]
+    columns = list(zip(*rows)) or [[]] * 5
+    yield pa.record_batch({n: pa.array(list(c), t) for n, c, t in zip(("teacher", "label", "sure", "key", "view"), columns, (pa.int32(), pa.int32(), pa.float64(), pa.int64(), pa.binary()))})
 
 
 def _score(batches: Iterator[pa.RecordBatch], model, cut_off: float) -> Iterator[pa.RecordBatch]:
-    """Columns: id, text, size, names."""
+    """Columns: id, view."""
     for whole in batches:
-        for b in cut(whole, 1, 1 << 20):
+        for b in cut(whole, 1, 4 << 20):
             if model.value is None:
                 p = (np.ones(b.num_rows),) * 3
             else:
-                p = probabilities(model.value, text_view(b.column(1)), meta_view(b.column(2).to_pylist(), [c.to_pylist() for c in b.columns[3:]]))
+                x = _views(b.column(1).to_pylist())
+                p = probabilities(model.value, x[:, : HASHED + SHAPE], x[:, HASHED + SHAPE :])
             yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(np.asarray(x, np.float64)) for x in p), pa.array(p[2] >= cut_off)], ["doc_id", "p_text", "p_meta", "score", "keep"])
 
 
-def fit(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, size_col: str, meta_cols: tuple[str, ...], label_col: str) -> dict | None:
-    known = labels.where(F.col(id_col).isNotNull() & F.col(label_col).isin(0, 1)).groupBy(F.col(id_col).alias("__l")).agg(F.max(label_col).cast("int").alias("__y"))
-    named = docs.select(F.col(id_col).alias("__id"), F.col(text_col).alias("__text"), F.col(size_col).cast("double").alias("__size"), *(F.col(c).cast("string").alias(f"__m{k}") for k, c in enumerate(meta_cols)))
-    # ids first, texts only of those chosen: at most MOST_LABELLED + MOST_UNLABELLED
-    ids = named.select("__id").where("__id is not null").distinct().join(known, F.col("__id") == F.col("__l"), "left").select("__id", "__y")
-    order = (F.xxhash64("__id"), "__id")
-    chosen = [(r[0], r[1]) for part, most in (("__y is not null", MOST_LABELLED), ("__y is null", MOST_UNLABELLED)) for r in ids.where(part).orderBy(*order).limit(most).collect()]
-    if not chosen:
+def _fit(views: DataFrame, known: DataFrame, most_labelled: int, taught: int, rounds: int) -> dict | None:
+    """views: doc_id, view; known: doc_id, y."""
+    sc = views.sparkSession.sparkContext
+    with_id = views.where("doc_id is not null")
+    order = (F.xxhash64("doc_id"), "doc_id")
+    # bounded: most_labelled rows
+    sample = with_id.join(known, "doc_id").orderBy(*order).limit(most_labelled).collect()
+    got = sorted({(str(r["doc_id"]), r["y"], bytes(r["view"])) for r in sample})
+    if not got:
         return None
-    kind = named.schema["__id"].dataType.simpleString()
-    want = F.broadcast(docs.sparkSession.createDataFrame(chosen, f"__w {kind}, __y int"))
-    rows = named.join(want, named["__id"] == want["__w"]).select("__id", "__y", "__text", "__size", *(f"__m{k}" for k in range(len(meta_cols))))
-    got = sorted({(r["id"], -1 if r["label"] is None else r["label"], bytes(r["view"])) for r in rows.mapInArrow(frugal(_features), "id string, label int, view binary").collect()})
-    x = np.frombuffer(b"".join(v for _, _, v in got), "<f4").reshape(len(got), -1).astype(np.float64)
-    y = np.array([n for _, n, _ in got], float)
-    xt, xm = x[:, : HASHED + SHAPE], x[:, HASHED + SHAPE :]
-    on = y >= 0
-    return co_train(xt[on], xm[on], y[on], xt[~on], xm[~on])
-
-
-def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", size_col: str = "n_chars", meta_cols: tuple[str, ...] = ("source", "lang"), label_col: str = "quality", cut_off: float = 0.5) -> DataFrame:
+    x, y = _views([v for _, _, v in got]), np.array([n for _, n, _ in got], float)
+    # all documents without a label; those that look alike in both views count once
+    pool = with_id.join(known.select("doc_id"), "doc_id", "left_anti").select(F.xxhash64("view").alias("key"), "view")
+    pool = materialize(pool.groupBy("key").agg(F.first("view").alias("view")), "pool")
+    taken: list[int] = []
+
+    def surest(models: list, share: float) -> list:
+        most = [max(1, round(taught * (1 - share))), max(1, round(taught * share))]
+        state = sc.broadcast((models, most, np.array(sorted(taken), np.int64)))
+        found = pool.mapInArrow(frugal(partial(_surest, state=state)), "teacher int, label int, sure double, key long, view binary")
+        limit = F.when(F.col("label") == 0, most[0]).otherwise(most[1])
+        # what tasks found, first in 64 groups of tasks' rows, then all: never many rows in one task
+        for by in (["teacher", "label", F.pmod("key", F.lit(64))], ["teacher", "label"]):
+            found = found.withColumn("__r", F.row_number().over(Window.partitionBy(*by).orderBy(F.desc("sure"), "key"))).where(F.col("__r") <= limit).drop("__r")
+        rows = found.collect()  # at most twice `taught`
+        taken.extend({r["key"] for r in rows})
+        pick = lambda k, label: [bytes(r["view"]) for r in rows if (r["teacher"], r["label"]) == (k, label)]
+        return [[_views(v) if (v := pick(k, label)) else [] for label in (0, 1)] for k in (0, 1)]
+
+    model = co_train(x[:, : HASHED + SHAPE], x[:, HASHED + SHAPE :], y, surest, rounds)
+    discard(pool)
+    return model
+
+
+def classify(
+    docs: DataFrame,
+    labels: DataFrame,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    size_col: str = "n_chars",
+    meta_cols: tuple[str, ...] = ("source", "lang"),
+    label_col: str = "quality",
+    cut_off: float = 0.5,
+    most_labelled: int = 6_000,
+    taught: int = 125,
+    rounds: int = ROUNDS,
+) -> DataFrame:
     """id, p_text, p_meta, score and keep (score of at least cut_off) of every row of docs.
 
+    The models are fitted on at most most_labelled labelled documents, those whose ids have the
+    smallest hashes, and in each round each view teaches the other about as many as `taught` documents,
+    the surest of all that have no label. All documents are scored in every round.
     Labels are 0 or 1, others and null ids are ignored, and of several the largest counts. Without two
     labels of each kind there is nothing to learn: all scores are 1 and every row is kept. Null and
     empty texts are scored as texts without characters, null metadata as a value of its own; repeated
     rows score alike; an empty table gives an empty table; other columns are ignored."""
-    model = docs.sparkSession.sparkContext.broadcast(fit(docs, labels, id_col, text_col, size_col, meta_cols, label_col))
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("t"), F.col(size_col).cast("double").alias("s"), *(F.col(c).cast("string").alias(f"m{k}") for k, c in enumerate(meta_cols)))
-    kind = rows.schema["doc_id"].dataType.simpleString()
-    return rows.mapInArrow(frugal(partial(_score, model=model, cut_off=cut_off)), f"doc_id {kind}, p_text double, p_meta double, score double, keep boolean").withColumnRenamed("doc_id", id_col)
+    named = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("t"), F.col(size_col).cast("double").alias("s"), *(F.col(c).cast("string").alias(f"m{k}") for k, c in enumerate(meta_cols)))
+    kind = named.schema["doc_id"].dataType.simpleString()
+    views = materialize(named.mapInArrow(frugal(_features), f"doc_id {kind}, view binary"), "views")
+    known = labels.where(F.col(id_col).isNotNull() & F.col(label_col).isin(0, 1)).groupBy(F.col(id_col).cast(kind).alias("doc_id")).agg(F.max(label_col).cast("int").alias("y"))
+    model = docs.sparkSession.sparkContext.broadcast(_fit(views, known, most_labelled, taught, rounds))
+    return views.mapInArrow(frugal(partial(_score, model=model, cut_off=cut_off)), f"doc_id {kind}, p_text double, p_meta double, score double, keep boolean").withColumnRenamed("doc_id", id_col)

@@ -143,12 +143,44 @@ def test_quality_odd_rows(spark):
     assert cotrain.classify(df.limit(0), labels).count() == 0
 
 
+def test_all_unlabelled_rows_can_teach(spark):
+    """The surest of each task and of all are the surest by brute force."""
+    rng = np.random.default_rng(1)
+    x = rng.normal(size=(3000, cotrain.HASHED + cotrain.SHAPE + cotrain.META))
+    y = (x[:, 0] > 0).astype(float)
+    t = cotrain.HASHED + cotrain.SHAPE
+    models = [cotrain.Logistic(v, y, np.ones(len(y))) for v in (x[:, :t], x[:, t:] + y[:, None])]
+    half = x.astype("<f2")
+    df = spark.createDataFrame([(i, bytes(r.tobytes())) for i, r in enumerate(half)], "key long, view binary").repartition(7)
+    state = spark.sparkContext.broadcast((models, [5, 9], np.array([3, 4])))
+    from functools import partial
+
+    got = df.mapInArrow(partial(cotrain._surest, state=state), "teacher int, label int, sure double, key long, view binary").collect()
+    z = [m.logit(v) for m, v in zip(models, (half[:, :t].astype(float), half[:, t:].astype(float)))]
+    for k in (0, 1):
+        for label, n in ((0, 5), (1, 9)):
+            sure = z[k] if label else -z[k]
+            want = [i for i in np.argsort(-sure, kind="stable") if i not in (3, 4) and sure[i] > cotrain.SURE][:n]
+            mine = sorted((r for r in got if (r.teacher, r.label) == (k, label)), key=lambda r: (-r.sure, r.key))[:n]
+            assert [r.key for r in mine] == want
+
+
 def test_co_training_teaches_the_other_view():
     rng = np.random.default_rng(0)
     y = rng.integers(0, 2, 4000).astype(float)
     view = lambda: np.hstack([y[:, None] * 1.6 + rng.normal(size=(4000, 1)), rng.normal(size=(4000, 6))])
     a, b = view(), view()
-    model = cotrain.co_train(a[:200], b[:200], y[:200], a[200:3000], b[200:3000])
+    pool = np.hstack([a[200:3000], b[200:3000]])
+
+    def surest(models, share):
+        out = []
+        for k in (0, 1):
+            z = models[k].logit(pool[:, :7] if k == 0 else pool[:, 7:])
+            order = np.argsort(z)
+            out.append([pool[order[:40][z[order[:40]] < -cotrain.SURE]], pool[order[-40:][z[order[-40:]] > cotrain.SURE]]])
+        return out
+
+    model = cotrain.co_train(a[:200], b[:200], y[:200], surest)
     p, q, both = cotrain.probabilities(model, a[3000:], b[3000:])
     right = [((x > 0.5) == (y[3000:] > 0.5)).mean() for x in (p, q, both)]
     assert right[2] > max(right[:2]) and right[2] > 0.84

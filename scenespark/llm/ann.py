@@ -14,19 +14,20 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._vectors import search, vectors, written
+from ._vectors import indexed, search, vectors
 
 #: The codebooks are fitted on at most so many vectors, those with the smallest hashes of their ids.
 SAMPLE = 8_192
 #: Components in a subspace.
 WIDTH = 2
 #: The share of |x| that an inner product must reach to matter; sets eta.
-REACH = 0.2
+REACH, LEAST = 0.2, 1.5
 
 
 def _weights(dim: int) -> float:
-    """eta: what a squared error along x counts against one across it."""
-    return max(1.0, (dim - 1) * REACH**2 / (1 - REACH**2))
+    """eta: what a squared error along x counts against one across it. Where that share makes it small,
+    in few dimensions, LEAST."""
+    return max(LEAST, (dim - 1) * REACH**2 / (1 - REACH**2))
 
 
 def _split(x: np.ndarray) -> np.ndarray:
@@ -110,23 +111,19 @@ def _within(query_ids: np.ndarray, queries: np.ndarray, segment, k: int, rerank:
     longest = float(np.sqrt(max(norms.max(), coded.max())))
     parts = _split(queries.astype(np.float64))
     tables = np.einsum("qsw,scw->qsc", parts, books.value[dim])
-    q_out, v_out, s_out = [], [], []
+    p_out, v_out, s_out, own_out = [], [], [], []
     for i, qid in enumerate(query_ids.tolist()):
         # the table of a byte: the sums of its two codes' entries
         pair = (-2 * (tables[i, 0::2, None, :] + tables[i, 1::2, :, None])).reshape(len(codes), 256).astype(np.float32)
         near = norms.copy()
         for t, c in zip(pair, codes):
             near += t[c]
-        own = np.searchsorted(ids, qid)
-        if own < len(ids) and ids[own] == qid:
-            near[own] = np.inf
         if len(ids) > rerank:
             bound = np.partition(near, rerank - 1)[rerank - 1]
             at = np.flatnonzero(near < bound)
             at = np.concatenate((at, np.flatnonzero(near == bound)[: rerank - len(at)]))
         else:
             at = np.arange(len(ids))
-        at = at[ids[at] != qid]
         query = queries[i].astype(np.float64)
         exact = np.sqrt(((table[at].astype(np.float64) - query) ** 2).sum(1))
         if len(ids) > rerank:
@@ -147,32 +144,32 @@ def _within(query_ids: np.ndarray, queries: np.ndarray, segment, k: int, rerank:
                 at = np.concatenate((at, more))
                 exact = np.concatenate((exact, np.sqrt(((table[more].astype(np.float64) - query) ** 2).sum(1))))
                 size *= 2
-        best = np.lexsort((ids[at], exact))[:k]
-        q_out.append(np.full(len(best), qid))
+        own = (ids[at] == qid) & (table[at] == queries[i]).all(1)
+        best = np.lexsort((~own, ids[at], exact))[:k]
+        p_out.append(np.full(len(best), i))
         v_out.append(ids[at][best])
         s_out.append(exact[best])
-    return np.concatenate(q_out), np.concatenate(v_out), np.concatenate(s_out)
+        own_out.append(own[best])
+    return tuple(map(np.concatenate, (p_out, v_out, s_out, own_out)))
 
 
 def nearest(df: DataFrame, queries: DataFrame, k: int = 10, rerank: int = 200, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
     """query_id, rank, vec_id, score: for each query k near rows of df by Euclidean distance, nearest
-    first, ties to the smaller vec_id; the row with the query's own id is left out. All rows are coded
+    first, ties to the smaller vec_id; the query's own row is left out. All rows are coded
     and scanned; in each segment the rerank best by the scan get their exact distance, in double
     precision, and then all rows whose code does not rule out that they are as near as the k-th. So
     rows and scores are exact.
 
     Vectors that are null, all zero or hold null or non-finite components take no part, nor rows with a
-    null id; of rows that repeat an id the smallest vector stays; only vectors of the same
-    length are compared; empty tables give an empty table."""
+    null id. Rows that repeat an id are candidates and queries of their own; of rows equal to the query
+    in id and vector one is the query. Only vectors of the same length are compared; empty tables give
+    an empty table; other columns, whatever their names, are ignored."""
     rows = vectors(df, id_col, vec_col, False)
-    spark = df.sparkSession
     # bounded: at most SAMPLE vectors of a length reach the driver
-    sample = rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE).toPandas()
-    dims = {int(r[0]) for r in rows.select(F.size("v")).distinct().collect()}
     books = {}
-    for d in dims:
-        own = [v for v in sample["v"] if len(v) == d] or rows.where(F.size("v") == d).orderBy(F.xxhash64("vec_id")).limit(SAMPLE).toPandas()["v"].tolist()
-        books[d] = train(np.array(own, np.float64).reshape(len(own), d))
-    sent = spark.sparkContext.broadcast(books)
-    index = written(rows, partial(_build, books=sent), "codes binary, norms binary, coded binary, lost binary, vectors binary", "codes")
-    return search(index, vectors(queries, id_col, vec_col, False), partial(_within, k=k, rerank=rerank, books=sent), k, False, "double")
+    for (d,) in rows.select(F.size("v")).distinct().collect():
+        own = rows.where(F.size("v") == d).orderBy(F.xxhash64("vec_id"), "vec_id", "v").limit(SAMPLE).toPandas()["v"].tolist()
+        books[int(d)] = train(np.array(own, np.float64).reshape(len(own), d))
+    sent = df.sparkSession.sparkContext.broadcast(books)
+    index = indexed(rows, partial(_build, books=sent), "codes binary, norms binary, coded binary, lost binary, vectors binary", "codes")
+    return search(index, vectors(queries, id_col, vec_col, False), partial(_within, rerank=rerank, books=sent), k, False, "double")

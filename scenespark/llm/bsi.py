@@ -8,7 +8,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._vectors import search, vectors, written
+from ._vectors import indexed, search, vectors
 
 U = np.uint64
 
@@ -31,7 +31,7 @@ def _build(ids: np.ndarray, table: np.ndarray, scale: float) -> dict:
     rows = np.zeros((q.shape[1], words * 64), U)
     rows[:, : len(ids)] = q.T
     slices = np.stack([np.packbits(((rows >> U(j)) & U(1)).astype(np.uint8), axis=1, bitorder="little") for j in range(bits)], 1)
-    return {"low": low.tobytes(), "bits": bits, "slices": slices.tobytes()}
+    return {"low": low.tobytes(), "bits": bits, "slices": slices.tobytes(), "vectors": table.tobytes()}
 
 
 def add_slices(columns: list[list[np.ndarray]], words: int) -> list[np.ndarray]:
@@ -88,14 +88,15 @@ def _places(bitmap: np.ndarray, n: int | None = None) -> np.ndarray:
 
 def _within(query_ids: np.ndarray, queries: np.ndarray, segment, k: int, scale: float) -> tuple:
     ids, low, bits, dim = np.frombuffer(segment["ids"], np.int64), np.frombuffer(segment["low"], np.int64), int(segment["bits"]), int(segment["dim"])
+    vectors_ = np.frombuffer(segment["vectors"], np.float32).reshape(len(ids), dim)
     words = -(-len(ids) // 64)
     plain = np.frombuffer(segment["slices"], U).reshape(dim, bits, words)
     both = np.stack((plain, ~plain))
     every = np.zeros(words * 8, np.uint8)
     every[: -(-len(ids) // 8)] = np.packbits(np.ones(len(ids), np.uint8), bitorder="little")
     every = every.view(U)
-    q_out, v_out, s_out = [], [], []
-    for qid, q in zip(query_ids.tolist(), quantise(queries, scale)):
+    p_out, v_out, s_out, own_out = [], [], [], []
+    for place, q in enumerate(quantise(queries, scale)):
         size, minus = np.abs(q), (q < 0).astype(np.int64)
         top = max(int(size.max()).bit_length(), 1) if dim else 1
         columns: list[list[np.ndarray]] = [[] for _ in range(top + bits)]
@@ -106,35 +107,44 @@ def _within(query_ids: np.ndarray, queries: np.ndarray, segment, k: int, scale:
                 for j in range(bits):
                     columns[b + j].append(add[:, j])
         slices = add_slices(columns, words)
-        rows = every
-        own = np.searchsorted(ids, qid)
-        if own < len(ids) and ids[own] == qid:
-            rows = every.copy()
-            rows[own >> 6] &= ~(U(1) << U(own & 63))
-        sure, level = top_rows(slices, rows, k)
+        sure, level = top_rows(slices, every, k)
         at = _places(sure)
         # rows are in the order of their ids, so the first of those that tie are the smallest ids
-        at = np.concatenate((at, _places(level, k - len(at)))).astype(np.int64)
+        at = np.concatenate((at, _tied(level, k - len(at), ids, query_ids[place]))).astype(np.int64)
         total = np.zeros(len(at), np.int64)
         for w, s in enumerate(slices):
             total += ((s[at >> 6] >> (at & 63).astype(U)) & U(1)).astype(np.int64) << w
         total += int((q * low).sum()) - int(size[minus == 1].sum()) * ((1 << bits) - 1)
-        q_out.append(np.full(len(at), qid))
+        p_out.append(np.full(len(at), place))
         v_out.append(ids[at])
         s_out.append(total)
-    return tuple(np.concatenate(x) if x else np.zeros(0, np.int64) for x in (q_out, v_out, s_out))
+        own_out.append((ids[at] == query_ids[place]) & (vectors_[at] == queries[place]).all(1))
+    return tuple(np.concatenate(x) if x else np.zeros(0, t) for x, t in zip((p_out, v_out, s_out, own_out), (np.int64, np.int64, np.int64, bool)))
+
+
+def _tied(level: np.ndarray, n: int, ids: np.ndarray, query_id: int) -> np.ndarray:
+    """The first n rows of a bitmap; where these end among rows that have the query's own id, all that
+    have it, so that the query itself is surely there."""
+    at = _places(level, n)
+    if len(at) and n > 0 and ids[at[-1]] == query_id:
+        lo, hi = np.searchsorted(ids, (query_id, query_id + 1))
+        same = np.arange(lo, hi)
+        same = same[((level[same >> 6] >> (same & 63).astype(U)) & U(1)).astype(bool)]
+        at = np.union1d(at, same)
+    return at
 
 
 def top_inner(df: DataFrame, queries: DataFrame, k: int = 10, scale: float = 1024, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
     """query_id, rank, vec_id, score: each query's k rows of df with the largest inner product of
-    quantised components, ties to the smaller vec_id; the row with the query's own id is left out.
+    quantised components, ties to the smaller vec_id; the query's own row is left out.
 
     For a query the slices of each attribute are added, shifted by the bits of the query's component,
     as they are for a positive and inverted for a negative one; rows are then chosen from the most
     significant slice of the sums downward, and their scores read from the slices.
-    Vectors that are null or hold null or non-finite components take no part, nor rows with a null id;
-    of rows that repeat an id the smallest vector stays; only vectors of the same length are
-    compared; empty tables give an empty table. Components beyond 2**28 / scale raise an error."""
-    rows = vectors(df, id_col, vec_col, True)
-    index = written(rows, partial(_build, scale=scale), "low binary, bits int, slices binary", "bit-slices")
-    return search(index, vectors(queries, id_col, vec_col, True), partial(_within, k=k, scale=scale), k, True, "long")
+    Vectors that are null or hold null or non-finite components take no part, nor rows with a null id.
+    Rows that repeat an id are candidates and queries of their own; of rows equal to the query in id and
+    vector one is the query. Only vectors of the same length are compared; empty tables give an empty
+    table; other columns, whatever their names, are ignored. Components beyond 2**28 / scale raise an
+    error."""
+    index = indexed(vectors(df, id_col, vec_col, True), partial(_build, scale=scale), "low binary, bits int, slices binary, vectors binary", "bit-slices")
+    return search(index, vectors(queries, id_col, vec_col, True), partial(_within, scale=scale), k, True, "long")

@@ -1,4 +1,5 @@
 import numpy as np
+import pytest
 
 from scenespark.llm import ann, bsi
 
@@ -24,15 +25,35 @@ def test_bsi_equals_brute_force(spark):
     df = table(spark, rows + ODD)
     q = {int(r.vec_id): r for r in df.where("vec_id % 50 = 0").collect()}
     got = bsi.top_inner(df, df.where("vec_id % 50 = 0"), k=10).orderBy("query_id", "rank").collect()
-    ints = {i: np.floor(1024 * np.array(v)).astype(np.int64) for i, v in rows}
+    ints = [(i, np.floor(1024 * np.array(v)).astype(np.int64)) for i, v in rows + [(5, [9.0] * 12)]]
     want = []
-    for i in sorted(x for x in q if x in ints):
-        s = sorted(((-int(ints[i] @ v), j) for j, v in ints.items() if j != i))[:10]
+    for i, v in sorted((x for x in ints if x[0] in q), key=lambda x: x[0]):
+        s = sorted((-int(u @ v), j) for j, u in ints if j != i)[:10]
         want += [(i, r + 1, j, -x) for r, (x, j) in enumerate(s)]
-    got = [tuple(r) for r in got if r.query_id in ints]
+    got = [tuple(r) for r in got if r.query_id in {i for i, _ in ints}]
     assert got == want
 
 
+def test_repeated_ids_are_rows_of_their_own(spark):
+    """Of three rows of id 1 two are equal: each finds the other two."""
+    df = table(spark, [(1, [1.0, 0.0]), (1, [1.0, 0.0]), (1, [3.0, 0.0]), (2, [2.0, 0.0])])
+    got = sorted(tuple(r) for r in ann.nearest(df, df.where("vec_id = 1"), k=2).collect())
+    assert got == sorted([(1, 1, 1, 0.0), (1, 2, 2, 1.0)] * 2 + [(1, 1, 2, 1.0), (1, 2, 1, 2.0)])
+    got = sorted(tuple(r) for r in bsi.top_inner(df, df.where("vec_id = 1"), k=3, scale=1).collect())
+    assert got == sorted([(1, 1, 1, 3), (1, 2, 2, 2), (1, 3, 1, 1)] * 2 + [(1, 1, 2, 6), (1, 2, 1, 3), (1, 3, 1, 3)])
+
+
+def test_blocks_and_segments(spark, monkeypatch):
+    """Many blocks of queries and, in each task, many segments."""
+    from scenespark.llm import _vectors
+
+    df = table(spark, sample(200))
+    whole = [sorted(map(tuple, f(df, df.where("vec_id % 3 = 0"), k=5).collect())) for f in (ann.nearest, bsi.top_inner)]
+    monkeypatch.setattr(_vectors, "BLOCK_BYTES", 3000)
+    monkeypatch.setattr(_vectors, "SEGMENT_BYTES", 12 * 4 * 16)
+    assert whole == [sorted(map(tuple, f(df, df.where("vec_id % 3 = 0"), k=5).collect())) for f in (ann.nearest, bsi.top_inner)]
+
+
 def test_bsi_few_rows_and_none(spark):
     df = table(spark, [(0, [1.0, 2.0]), (1, [1.0, -2.0]), (2, [0.0, 0.0])])
     assert [tuple(r) for r in bsi.top_inner(df, df.where("vec_id = 0")).collect()] == [(0, 1, 2, 0), (0, 2, 1, -3 * 1024 * 1024)]
@@ -55,26 +76,36 @@ def test_ann_recall_and_scores(spark):
     assert hits / total >= 0.9
 
 
-def test_ann_full_segment_of_near_copies():
-    """A third of a segment near one vector, with ties: the scan cannot tell these rows apart."""
+def clustered(kind):
     rng = np.random.default_rng(4)
     n, dim = 32_768, 64
     x = rng.normal(size=(n, dim)).astype(np.float32)
-    x[: n // 3] = x[0] + 0.02 * rng.normal(size=(n // 3, dim))
-    x[100:400] = x[100]
-    x, ids = x[rng.permutation(n)], np.arange(n) * 3
+    if kind == "copies":  # a third of a segment near one vector, with ties: the scan cannot tell these rows apart
+        x[: n // 3] = x[0] + 0.02 * rng.normal(size=(n // 3, dim))
+        x[100:400] = x[100]
+    elif kind:
+        centres = rng.normal(size=(kind, dim))
+        x = (centres[rng.integers(0, kind, n)] + 0.2 * rng.normal(size=(n, dim))).astype(np.float32)
+    return x[rng.permutation(n)]
+
+
+@pytest.mark.parametrize("kind", ["copies", 10, 50, 0])
+def test_ann_full_segment(kind):
+    x = clustered(kind)
+    ids = np.arange(len(x)) * 3
 
     class books:
-        value = {dim: ann.train(x[:2048])}
+        value = {64: ann.train(x[:2048])}
 
-    segment = {"ids": ids.tobytes(), "dim": dim, **ann._build(ids, x, books)}
-    asked = np.arange(0, n, 1000)
-    q, v, s = ann._within(ids[asked], x[asked], segment, 10, 200, books)
-    for i in asked.tolist():
+    segment = {"ids": ids.tobytes(), "dim": 64, **ann._build(ids, x, books)}
+    asked = np.arange(0, len(x), 2000)
+    p, v, s, own = ann._within(ids[asked], x[asked], segment, 11, 200, books)
+    for k, i in enumerate(asked.tolist()):
         far = np.sqrt(((x.astype(np.float64) - x[i]) ** 2).sum(1))
-        want = [j for j in np.lexsort((ids, far))[:400] if j != i][:10]
-        assert v[q == ids[i]].tolist() == ids[want].tolist()
-        assert np.array_equal(s[q == ids[i]], far[want])
+        want = np.lexsort((ids != ids[i], ids, far))[:400]
+        want = sorted(want.tolist(), key=lambda j: (far[j], ids[j]))[:11]
+        assert v[p == k].tolist() == ids[want].tolist()
+        assert np.array_equal(s[p == k], far[want])
 
 
 def test_ann_odd_rows(spark):
@@ -88,7 +119,8 @@ def test_ann_odd_rows(spark):
 def test_anisotropic_codes_lose_less_along_the_vector():
     x = np.random.default_rng(1).normal(size=(400, 16))
     books = ann.train(x)
-    eta = ann._weights(16) + 4
+    eta = ann._weights(16)
+    assert eta == ann.LEAST and ann._weights(64) > 2
 
     def along(codes):
         back = np.stack([books[s][codes[:, s]] for s in range(books.shape[0])], 1).reshape(400, -1)

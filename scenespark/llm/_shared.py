@@ -66,15 +66,21 @@ def _frugal(f: Callable[[Iterator], Iterator], tables: bool, batches: Iterator)
         release()
 
 
-def join_counted(rows: DataFrame, table: DataFrame, keys: list[str], count: str) -> DataFrame:
-    """rows joined with table (one row a key; the column count tells how many of rows have the key, and
-    goes). Keys that hold more than 1 / HOT of all counted rows, of which there are at most HOT, are
-    sent to all tasks, so their rows stay where they are; the others meet in a merge join, in which
-    none is large. table must be a written one: it is read three times."""
-    total = table.agg(F.sum(count)).first()[0] or 0
-    least = F.lit(total // HOT)
-    hot = table.where((F.col(count) > least) & (F.col(count) > HOT)).drop(count)
-    cold = table.where((F.col(count) <= least) | (F.col(count) <= HOT)).drop(count)
-    near = rows.join(F.broadcast(hot), keys)
-    far = rows.join(F.broadcast(hot.select(*keys)), keys, "left_anti").join(cold.hint("merge"), keys)
+def join_hot(rows: DataFrame, table: DataFrame, keys: list[str]) -> DataFrame:
+    """rows joined with table, which has one row a key. Keys with more than 1 / HOT of all rows (and more
+    than HOT rows), of which there are less than HOT, are sent to all tasks, so that their rows stay where
+    they are; the others meet in a merge join, in which no key is large. Both should be written
+    tables: rows is read three times, table twice."""
+    least = max(rows.count() // HOT, HOT)
+    hot = materialize(rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n")).where(F.col("__n") > least).select(*keys), "hot")
+    near = rows.join(F.broadcast(table.join(F.broadcast(hot), keys)), keys)
+    far = rows.join(F.broadcast(hot), keys, "left_anti").join(table.hint("merge"), keys)
     return near.unionByName(far)
+
+
+def unused(df: DataFrame, name: str) -> str:
+    """name, made longer until no column of df has it (names are compared without case)."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name

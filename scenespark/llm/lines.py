@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._shared import cut, frugal, materialize
+from ._shared import cut, frugal, join_hot, materialize, unused
 
 _SPACE = " \t\n\x0b\x0c\r"
 
@@ -26,13 +26,13 @@ def line_key(line: str, min_chars: int) -> bytes | None:
 def _explode(batches: Iterator[pa.RecordBatch], min_chars: int) -> Iterator[pa.RecordBatch]:
     for whole in batches:
         for b in cut(whole, 1):
-            ids, keys = [], []
-            for doc, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                if doc is not None and text is not None and len(text) >= min_chars:
+            at, keys = [], []
+            for i, text in enumerate(b.column(1).to_pylist()):
+                if text is not None and len(text) >= min_chars:
                     found = {line_key(x, min_chars) for x in text.split("\n") if len(x) >= min_chars} - {None}
                     keys += found
-                    ids += [doc] * len(found)
-            yield pa.record_batch({"doc_id": pa.array(ids, pa.int64()), "key": pa.array(keys, pa.binary())})
+                    at += [i] * len(found)
+            yield pa.record_batch({"doc_id": b.column(0).take(pa.array(at, pa.int64())), "key": pa.array(keys, pa.binary())})
 
 
 def _reassemble(batches: Iterator[pa.RecordBatch], at: int, min_chars: int, names: list[str]) -> Iterator[pa.RecordBatch]:
@@ -62,14 +62,18 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     A key of at least min_chars code points that at least min_docs documents hold loses all its
     lines but those in the largest id that holds it. Null or empty texts are one empty line and come
     back empty. Rows with a null id are not counted and keep all lines; rows that repeat an id count
-    as one document. Columns named n_lines or n_dropped are replaced; others pass through.
+    as one document. Ids may be of any type that has an order. Columns named n_lines or n_dropped
+    are replaced; others, whatever their names, pass through.
     An empty table stays empty."""
     docs = docs.drop("n_lines", "n_dropped")
-    held = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    lines = materialize(held.mapInArrow(frugal(partial(_explode, min_chars=min_chars)), "doc_id long, key binary").distinct(), "lines")
+    kind = docs.schema[id_col].dataType.simpleString()
+    held = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).where("doc_id is not null")
+    lines = materialize(held.mapInArrow(frugal(partial(_explode, min_chars=min_chars)), f"doc_id {kind}, key binary").distinct(), "lines")
     often = lines.groupBy("key").agg(F.count(F.lit(1)).alias("docs"), F.max("doc_id").alias("keeper")).where(F.col("docs") >= min_docs)
-    drops = lines.join(often, "key").where("doc_id <> keeper").groupBy(F.col("doc_id").alias("__doc")).agg(F.collect_list("key").alias("__drop"))
-    joined = docs.join(drops, docs[id_col] == drops["__doc"], "left").drop("__doc")
+    often = materialize(often.select("key", "keeper"), "often")
+    own, drop = unused(docs, "__doc"), unused(docs, "__drop")
+    drops = join_hot(lines, often, ["key"]).where("doc_id <> keeper").groupBy(F.col("doc_id").alias(own)).agg(F.collect_list("key").alias(drop))
+    joined = docs.join(drops, docs[id_col] == drops[own], "left").drop(own)
     fields = [T.StructField(f.name, T.StringType()) if f.name == text_col else f for f in docs.schema.fields]
     schema = T.StructType([*fields, T.StructField("n_lines", T.LongType()), T.StructField("n_dropped", T.LongType())])
     return joined.mapInArrow(frugal(partial(_reassemble, at=docs.columns.index(text_col), min_chars=min_chars, names=schema.names)), schema)

@@ -119,7 +119,8 @@ def pack(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col:
     rows.sort()
     table = docs.sparkSession.sparkContext.broadcast(tuple(np.array(x, np.int64) for x in zip(*rows)) if rows else (np.zeros(1, np.int64),) * 3)
     before = tasks.withColumn("before", F.sum("n").over(Window.partitionBy("length").orderBy("part")) - F.col("n")).drop("n")
-    ranked = pieces.join(before, ["part", "length"]).withColumn("rank", F.col("local") + F.col("before"))
+    # a row a task and length: that grows with the input, so it is never sent to all tasks
+    ranked = pieces.join(before.hint("merge"), ["part", "length"]).withColumn("rank", F.col("local") + F.col("before"))
     columns = ["doc_id", "start", "length", "ids_crc32", "doc_tokens"] + ["ids"] * with_ids
     out = f"doc_id {kind}, start long, length long, ids_crc32 long, doc_tokens long" + ", ids array<int>" * with_ids + ", sequence_id long, offset long"
     return ranked.select(*columns, "rank").mapInPandas(partial(_place, table=table), out).withColumnRenamed("doc_id", id_col)

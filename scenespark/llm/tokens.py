@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._encoders import PieceCounter, encoder
-from ._shared import cut, frugal, shared_dir
+from ._shared import cut, exists, frugal, join_hot, materialize, shared_dir
 
 _CACHE = "digest string, version string, n_tokens long"
 
@@ -42,14 +42,14 @@ def count_tokens(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_
     spark, version = docs.sparkSession, version_of(model_path)
     docs = docs.select(F.col(id_col).alias("__id"), F.coalesce(F.col(text_col), F.lit("")).alias("__text"))
     docs = docs.withColumn("digest", F.sha2("__text", 256))
+    rows = materialize(docs.select("__id", "digest", F.octet_length("__text").cast("long").alias("n_bytes")), "digests")
     distinct = docs.groupBy("digest").agg(F.first("__text").alias("__text"))
     path = cache_path or shared_dir(spark, "token-cache")
-    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    if hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(hadoop):
+    if cache_path and exists(spark, path):
         known = spark.read.schema(_CACHE).parquet(path).where(F.col("version") == version).select("digest")
         distinct = distinct.join(known, "digest", "left_anti")
     fresh = distinct.mapInArrow(frugal(partial(_encode, path=model_path, version=version), tables=True), _CACHE)
     fresh.write.mode("append").parquet(path)
     cache = spark.read.schema(_CACHE).parquet(path).where(F.col("version") == version).groupBy("digest").agg(F.max("n_tokens").alias("n_tokens"))
-    out = docs.select("__id", "digest", F.octet_length("__text").cast("long").alias("n_bytes")).join(cache, "digest")
+    out = join_hot(rows, cache, ["digest"])
     return out.select(F.col("__id").alias(id_col), "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))

@@ -27,7 +27,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._shared import cut, materialize, shared_dir
+from ._shared import cut, join_hot, materialize, shared_dir
 
 #: Captures in an index block.
 LINES = 3000
@@ -159,8 +159,8 @@ def write_archives(pages: DataFrame, root: str, id_col: str = "page_id", url_col
     first = materialize(responses.mapInArrow(partial(_write_records, root=root, kind="response"), _CAPTURE), "captures")
     copies = large.groupBy("page_id", "url", "sha1", "size").agg(F.count(F.lit(1)).alias("n"))
     target = first.where(F.col("size") >= min_bytes).select(F.col("digest").alias("__digest"), F.col("size").alias("__size"), F.col("page_id").alias("refers"), F.col("url").alias("refers_url"))
-    copies = copies.withColumn("__digest", _b32_udf()("sha1"))
-    again = copies.join(target, (copies["__digest"] == target["__digest"]) & (copies["size"] == target["__size"]))
+    copies = materialize(copies.select("*", _b32_udf()("sha1").alias("__digest"), F.col("size").alias("__size")), "copies")
+    again = join_hot(copies, target, ["__digest", "__size"])
     own = F.col("page_id").eqNullSafe(F.col("refers")) & F.col("url").eqNullSafe(F.col("refers_url"))
     again = again.withColumn("n", F.col("n") - own.cast("int")).where("n > 0")
     again = again.select("page_id", "url", "sha1", "size", "refers", "refers_url", F.explode(F.sequence(F.lit(1), F.col("n").cast("int")))).drop("col")
@@ -310,14 +310,16 @@ def _read_back(batches: Iterator[pd.DataFrame], root: str, files: list, with_pay
 
 def look_up(wanted: DataFrame, root: str, files: list[tuple[str, str]], id_col: str = "page_id", url_col: str = "url", with_payload: bool = False) -> DataFrame:
     """Reads the records of the distinct (id, URL) of wanted back through the index. Keys go to tasks
-    by range, so each task reads neighbouring blocks of few index files."""
+    by range, so each task reads neighbouring blocks of few index files. How many tasks is given, as
+    keys are small and what is read for them is not."""
 
     @F.pandas_udf("string")
     def key_of(url: pd.Series, page: pd.Series) -> pd.Series:
         return pd.Series([line_key(u, None if pd.isna(p) else int(p)) for u, p in zip(url, page)], dtype=object)
 
     keys = wanted.select(key_of(F.col(url_col), F.col(id_col).cast("string")).alias("key")).distinct()
-    keys = keys.repartitionByRange("key").sortWithinPartitions("key")
+    tasks = max(wanted.sparkSession.sparkContext.defaultParallelism, 4 * len(files))
+    keys = keys.repartitionByRange(tasks, "key").sortWithinPartitions("key")
     schema = "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long" + ", payload binary" * with_payload
     return keys.mapInPandas(partial(_read_back, root=root, files=files, with_payload=with_payload), schema)
 

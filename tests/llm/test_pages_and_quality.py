@@ -210,3 +210,32 @@ def test_pipeline_stages(spark, sf):
     assert out.groupBy("sequence_id").sum("length").where("sum(length) > 4096").count() == 0
     n = {r.doc_id: r.doc_tokens for r in out.collect()}
     assert sum(r.length for r in out.collect()) == sum(n[r.doc_id] for r in mixed.select("doc_id").collect())
+
+
+def test_pipeline_stages_on_odd_rows(spark, tmp_path):
+    """Nulls, repeated rows and ids, empty texts and columns with names that the stages use."""
+    import corpus_pipeline as p
+
+    long = " ".join(f"w{i}" for i in range(80))
+    line = "this very line is in more than five of the documents here"
+    rows = [(1, long, "en", "s", 5), (1, long, "en", "s", 5), (None, long, None, None, None), (2, long + " x", "en", "t", 5), (2, None, None, "s", None), (None, None, None, None, None), (3, "", "en", None, 0)]
+    rows += [(10 + i, f"{line}\nown {i} and some words {i * 7} of its own {i}", "en", "s", 9) for i in range(6)]
+    schema = "doc_id long, text string, lang string, source string, n_chars long, size long, row long, component_id long, n_lines int, __drop int, __doc int, __id int"
+    docs = spark.createDataFrame([(*r, 1, 1, 1, 1, 1, 1, 1) for r in rows], schema)
+    spark.createDataFrame([(1, 1), (None, 0)], "doc_id long, quality int").write.parquet(f"file://{tmp_path}/labels.parquet")
+    d = f"file://{tmp_path}"
+    kept = p.quality(spark, docs, d)
+    assert kept.count() == len(rows)  # too few labels to learn from
+    lined = p.line_dedup(spark, docs, d).collect()
+    assert sum(line in (r.text or "") for r in lined) == 1 and all(r.n_chars == len(r.text) for r in lined)
+    single = p.near_duplicates(spark, docs, d)
+    got = sorted(((r.doc_id or 0, r.text or "") for r in single.collect()))
+    assert got == sorted([(1, long), (2, ""), (0, ""), (3, "")] + [(r[0], r[1]) for r in rows[7:]])
+    mixed = p.mixed(spark, docs, d)
+    total = sum(len((r[1] or "").split()) for r in rows)
+    assert mixed.columns == p.COLUMNS and abs(sum(len(r.text.split()) for r in mixed.collect()) - 1.5 * total) <= 81
+    pieces = p.packed(spark, docs, d).collect()
+    assert len(pieces) == len(rows) and sum(r.doc_id is None for r in pieces) == 2
+    for stage in (p.quality, p.line_dedup, p.near_duplicates, p.mixed, p.packed):
+        assert stage(spark, docs.limit(0), d).count() == 0
+

@@ -10,6 +10,9 @@ def clip(x: Column, lo: float, hi: float) -> Column:
     return F.least(F.greatest(x, F.lit(lo)), F.lit(hi))
 
 
+# fixed values: the weights, scales and bounds of the scores below
+
+
 def point_confidence(observations: Column, view: Column, sharpness: Column, gps: Column, residual: Column) -> Column:
     one = F.lit(1.0)
     raw = 0.28 * F.least(observations / 6, one) + 0.22 * F.least(view, one) + 0.18 * F.least(sharpness, one) + 0.18 * gps + 0.14 * clip(1 - residual / 4, 0.0, 1.0)

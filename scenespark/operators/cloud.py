@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.scores import band
 from ..plans.tables import written
+from .quantiles import quantiles
 
 AXES = ("e", "n", "u")
 
@@ -22,7 +23,9 @@ def voxel_fuse(points: DataFrame, voxel: float, floor: bool = False) -> DataFram
     """One point a voxel. Keys truncate toward zero (so the cell at 0 is twice as wide), or floor.
     Means of position and, cut to whole numbers, of colour; the best confidence grows with the
     count; the source most frequent in the voxel, of equals the first seen (by seq).
-    Two shuffles: sums by voxel and source first, which also tame a hot voxel, then by voxel."""
+    Two shuffles: sums by voxel and source first, which also tame a hot voxel, then by voxel.
+    Rows without a finite position belong to no voxel and go."""
+    points = points.where(finite(*AXES))
     key = [((F.floor(F.col(a) / voxel)) if floor else (F.col(a) / voxel)).cast("long").alias(f"k{a}") for a in AXES]
     keys = [f"k{a}" for a in AXES]
     sums = [F.sum(c).alias(f"s_{c}") for c in (*AXES, "r", "g", "b")]
@@ -46,96 +49,194 @@ def band_counts(points: DataFrame) -> DataFrame:
 
 
 def percentile_trim(points: DataFrame, lo: float = 0.005, hi: float = 0.995) -> DataFrame:
-    """Points inside the percentiles of east and north."""
-    cut = points.agg(*[F.percentile(a, F.lit(p)).alias(f"{a}_{x}") for a in "en" for x, p in (("lo", lo), ("hi", hi))])
-    return points.crossJoin(F.broadcast(cut)).where("e between e_lo and e_hi and n between n_lo and n_hi").select(points.columns)
+    """Points inside the percentiles of east and north; rows without a finite position go."""
+    cut = quantiles(points, [(a, p) for a in "en" for p in (lo, hi)])
+    if cut[0] is None:
+        return points.limit(0)
+    return points.where(F.col("e").between(cut[0], cut[1]) & F.col("n").between(cut[2], cut[3]))
 
 
-def range_gate(points: DataFrame, cameras: DataFrame, factor: float = 1.6, most_cameras: int = 100_000) -> DataFrame:
-    """Points whose nearest camera is within factor times the median of those distances. Cameras
-    travel to all tasks as one array, whose size is checked."""
-    n = cameras.limit(most_cameras + 1).count()
-    if n > most_cameras:
-        raise ValueError(f"more than {most_cameras} cameras")
-    packed = cameras.agg(F.collect_list(F.struct(*[F.col(a).cast("double").alias(a) for a in AXES])).alias("__cams"))
-    d2 = lambda c: sum(((F.col(a) - c[a]) * (F.col(a) - c[a]) for a in AXES[1:]), (F.col("e") - c["e"]) * (F.col("e") - c["e"]))
-    near = points.crossJoin(F.broadcast(packed)).withColumn("camera_m", F.sqrt(F.array_min(F.transform("__cams", d2)))).drop("__cams")
-    middle = near.agg(F.median("camera_m").alias("__mid"))
-    return near.crossJoin(F.broadcast(middle)).where(F.col("camera_m") <= factor * F.col("__mid")).drop("__mid")
+def camera_distances(points: DataFrame, cameras: DataFrame, few: int = 64, key: str | None = None) -> DataFrame:
+    """points, where their position is finite, with camera_m, the distance to the nearest camera. A few
+    cameras become part of the expression; more are met in cells, for which key must name a unique column."""
+    c = cameras.select(*[F.col(a).cast("double").alias(a) for a in AXES]).where(finite(*AXES))
+    points = points.where(finite(*AXES))
+    held = c.limit(few + 1).collect()
+    if not held:
+        return points.withColumn("camera_m", F.lit(None).cast("double"))
+    if len(held) <= few:
+        squares = [sum(((F.col(a) - r[a]) * (F.col(a) - r[a]) for a in AXES[1:]), (F.col("e") - r["e"]) * (F.col("e") - r["e"])) for r in held]
+        return points.withColumn("camera_m", F.sqrt(F.least(*squares) if len(squares) > 1 else squares[0]))
+    if not key:
+        raise ValueError("many cameras: name a unique column of points")
+    near = nearest(points.withColumnRenamed(key, "id"), c.withColumn("id", F.monotonically_increasing_id()), 1)
+    return points.join(near.select(F.col("id").alias(key), F.col("d").alias("camera_m")), key)
 
 
-def _distance(a: str, b: str, axes: tuple[str, ...]) -> Column:
-    return F.sqrt(sum(((F.col(f"{a}.{x}") - F.col(f"{b}.{x}")) * (F.col(f"{a}.{x}") - F.col(f"{b}.{x}")) for x in axes[1:]), (F.col(f"{a}.{axes[0]}") - F.col(f"{b}.{axes[0]}")) * (F.col(f"{a}.{axes[0]}") - F.col(f"{b}.{axes[0]}"))))
+def range_gate(points: DataFrame, cameras: DataFrame, factor: float = 1.6, key: str | None = None) -> DataFrame:
+    """Points whose nearest camera is within factor times the median of those distances."""
+    near = written(camera_distances(points, cameras, key=key), "distances")
+    (middle,) = quantiles(near, [("camera_m", 0.5)])
+    return near.where(F.col("camera_m") <= factor * middle) if middle is not None else near.drop("camera_m").limit(0).withColumn("camera_m", F.lit(None).cast("double"))
 
 
-def _cells(df: DataFrame, cell: float, axes: tuple[str, ...], spread: bool) -> DataFrame:
-    key = F.array(*[F.floor(F.col(a) / cell).cast("long") for a in axes])
-    if not spread:
-        return df.withColumn("__cell", key)
-    around = F.array(*[F.lit(x).cast("long") for x in (-1, 0, 1)])
-    for i, _ in enumerate(axes):
-        df = df.withColumn(f"__o{i}", F.explode(around))
-    return df.withColumn("__cell", F.zip_with(key, F.array(*[F.col(f"__o{i}") for i in range(len(axes))]), lambda x, y: x + y)).drop(*[f"__o{i}" for i in range(len(axes))])
+def _square(a: str, b: str, axes: tuple[str, ...]) -> Column:
+    return sum(((F.col(f"{a}.{x}") - F.col(f"{b}.{x}")) * (F.col(f"{a}.{x}") - F.col(f"{b}.{x}")) for x in axes[1:]), (F.col(f"{a}.{axes[0]}") - F.col(f"{b}.{axes[0]}")) * (F.col(f"{a}.{axes[0]}") - F.col(f"{b}.{axes[0]}")))
+
+
+def _cells(df: DataFrame, cell: float, low: dict[str, float], most: dict[str, int], spread: bool) -> DataFrame:
+    """__cell: one number for the cell of each point, counted from the lowest corner; with spread also
+    of the cells around it. Points beyond the grid fall into its margin of two cells."""
+    at = {x: F.least(F.greatest(F.floor((F.col(x) - low[x]) / cell), F.lit(-2)), F.lit(most[x] + 2)).cast("long") + 3 for x in low}
+    offsets = [()]
+    for _ in low:
+        offsets = [(*o, d) for o in offsets for d in ((-1, 0, 1) if spread else (0,))]
+
+    def key(offset: tuple[int, ...]) -> Column:
+        k = F.lit(0).cast("long")
+        for x, d in zip(low, offset):
+            k = k * (most[x] + 7) + at[x] + d
+        return k
+
+    keys = [key(o) for o in offsets]
+    return df.withColumn("__cell", F.explode(F.array(*keys)) if spread else keys[0])
+
+
+def _grid(df: DataFrame, axes: tuple[str, ...]) -> tuple[int, dict[str, float], dict[str, float]]:
+    row = df.agg(F.count(F.lit(1)).alias("n"), *[f(a).alias(f"{k}{a}") for a in axes for k, f in (("lo", F.min), ("hi", F.max))]).first()
+    return row["n"], {a: row[f"lo{a}"] for a in axes}, {a: row[f"hi{a}"] for a in axes}
+
+
+def _steps_of(cell: float, low: dict[str, float], high: dict[str, float]) -> dict[str, int]:
+    return {a: int((high[a] - low[a]) / cell) + 1 for a in low}
 
 
 def radius_pairs(left: DataFrame, right: DataFrame, radius: float, axes: tuple[str, ...] = AXES) -> DataFrame:
-    """(l, r, d) of points strictly closer than radius: an equi-join on cells of that size, the right
+    """(l, r, d) of points strictly closer than radius: an equi-join on cells of that size, the left
     side also in the neighbouring cells."""
-    l = _cells(left.where(finite(*axes)), radius, axes, False).select("__cell", F.struct(*left.columns).alias("l"))
-    r = _cells(right.where(finite(*axes)), radius, axes, True).select("__cell", F.struct(*right.columns).alias("r"))
-    return l.join(r, "__cell").withColumn("d", _distance("l", "r", axes)).where(F.col("d") < radius).select("l", "r", "d")
+    left, right = left.where(finite(*axes)), right.where(finite(*axes))
+    n, low, high = _grid(right, axes)
+    low, high = ({a: x[a] or 0.0 for a in axes} for x in (low, high))
+    # cell numbers must fit: a tiny radius takes larger cells
+    cell = max(radius, max(high[a] - low[a] for a in axes) / 2**19, 1e-300)
+    most = _steps_of(cell, low, high)
+    l = _cells(left, cell, low, most, True).select("__cell", F.struct(*left.columns).alias("l"))
+    r = _cells(right, cell, low, most, False).select("__cell", F.struct(*right.columns).alias("r"))
+    return l.join(r, "__cell").withColumn("d", F.sqrt(_square("l", "r", axes))).where(F.col("d") < radius).select("l", "r", "d")
+
 
+def spacing(points: DataFrame) -> float | None:
+    """The median distance of a point to the nearest other one."""
+    return quantiles(written(nearest(points, points, 1, same=True).select("d"), "spacing"), [("d", 0.5)])[0]
 
-def agreeing(base: DataFrame, extra: DataFrame, radius: float) -> DataFrame:
-    """Points of extra with a point of base strictly closer than radius; all if base is empty."""
+
+def agreeing(base: DataFrame, extra: DataFrame, radius: float | None = None) -> DataFrame:
+    """Points of extra with a point of base strictly closer than radius; all if base is empty. Without a
+    radius: three times the spacing of base, 1.5 at least."""
     if base.isEmpty():
         return extra
+    if radius is None:
+        radius = max(1.5, 3.0 * (spacing(base) or 0.0))
     near = radius_pairs(extra, base, radius).select(F.col("l.id").alias("id")).distinct()
     return extra.join(near, "id", "left_semi")
 
 
 def nearest(left: DataFrame, right: DataFrame, k: int, axes: tuple[str, ...] = AXES, same: bool = False, cell: float | None = None) -> DataFrame:
     """(id, rank, other, d): the k nearest points of right for each of left, ties to the smaller id; same
-    leaves the point itself out. Exact: points are met in cells; a point is settled when its k-th
-    neighbour is no farther than a cell, others meet again in cells twice as large."""
-    l, r = (x.select("id", *axes).where(finite(*axes)) for x in (left, right))
-    n, *extent = r.agg(F.count(F.lit(1)), *[F.max(a) - F.min(a) for a in axes]).first()
-    if not n:
+    leaves the point itself out.
+
+    Exact. Points at one place count once, with the ids that can matter, so copies do not multiply.
+    Cells are small enough that a point meets few others: from the volume that so many points fill,
+    halved while the cells that points are in are crowded. A place is settled when its last neighbour is
+    no farther than a cell; the others meet again in cells twice as large, only they being spread."""
+    keep = k + 1 if same else k
+    place = F.struct(*[(F.col(a).cast("double") + 0.0).alias(a) for a in axes]).alias("place")
+    l, r = (written(x.where(finite(*axes)).select("id", place), "points") for x in (left, right))
+    spots = l.select("place").distinct().select("place", "place.*")
+    spots = written(spots, "places")
+    ranked = r.withColumn("__r", F.row_number().over(Window.partitionBy("place").orderBy("id"))).where(F.col("__r") <= keep)
+    others = written(ranked.groupBy("place").agg(F.sort_array(F.collect_list("id")).alias("ids")).select("ids", "place.*"), "places")
+    n, low, high = _grid(others, axes)
+    kind = l.schema["id"].dataType
+    if not n or spots.isEmpty():
         return l.select("id", F.lit(0).alias("rank"), F.col("id").alias("other"), F.lit(0.0).alias("d")).limit(0)
-    lo = l.agg(*[F.max(F.abs(F.col(a))) for a in axes]).first()
-    far = max(float(x or 0) for x in [*extent, *lo]) * 2 + 1
-    cell = cell or max(far / 2 / max(1.0, (n / (k + 1)) ** (1 / len(axes))), far / 2**20)
-    found, left_over = None, written(l, "points")
+    extent = max(high[a] - low[a] for a in axes)
+    least = max(extent / 2**19, 1e-9)
+    if cell is None:
+        wide = [high[a] - low[a] for a in axes if high[a] - low[a] > extent / 1e6]
+        cell = 1.0
+        if wide:
+            volume = 1.0
+            for w in wide:
+                volume *= w
+            cell = max((volume * (keep + 1) / 2 / n) ** (1 / len(wide)), least)
+            while cell / 2 > least:
+                counts = _cells(others, cell, low, _steps_of(cell, low, high), False).groupBy("__cell").agg(F.count(F.lit(1)).cast("double").alias("c"))
+                if counts.agg(F.sum(F.col("c") * F.col("c"))).first()[0] <= 4 * (keep + 1) * n:
+                    break
+                cell /= 2
+    cell = max(cell, least)
+    bounds = _grid(spots, axes)
+    far = max(max(high[a], bounds[2][a]) - min(low[a], bounds[1][a]) for a in axes) + 1
+    found: DataFrame | None = None
+    todo = spots
     while True:
-        last = cell >= 2 * far
-        a = _cells(left_over, cell, axes, False).select("__cell", F.struct("id", *axes).alias("l"))
-        b = _cells(r, cell, axes, True).select("__cell", F.struct("id", *axes).alias("r"))
-        met = a.join(b, "__cell").withColumn("d", _distance("l", "r", axes))
-        met = met.where(F.col("l.id") != F.col("r.id")) if same else met
-        w = Window.partitionBy("l.id").orderBy("d", "r.id")
-        top = met.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select(F.col("l.id").alias("id"), "rank", F.col("r.id").alias("other"), "d")
+        last = cell > far
+        most = _steps_of(cell, low, high)
+        a = _cells(todo, cell, low, most, True).select("__cell", "place", F.struct(*axes).alias("l"))
+        b = _cells(others, cell, low, most, False).select("__cell", "ids", F.struct(*axes).alias("r"))
+        met = a.join(b, "__cell").select("place", _square("l", "r", axes).alias("d"), F.explode("ids").alias("other"))
+        if keep == 1:
+            top = met.groupBy("place").agg(F.min(F.struct("d", "other")).alias("m")).select("place", F.lit(1).alias("rank"), F.sqrt("m.d").alias("d"), "m.other")
+        else:
+            met = met.withColumn("rank", F.row_number().over(Window.partitionBy("place").orderBy("d", "other"))).where(F.col("rank") <= keep)
+            top = met.select("place", "rank", F.sqrt("d").alias("d"), "other")
         top = written(top, "near")
-        done = top if last else top.join(top.groupBy("id").agg(F.count(F.lit(1)).alias("c"), F.max("d").alias("m")).where((F.col("c") == k) & (F.col("m") <= cell)).select("id"), "id", "left_semi")
+        settled = top.groupBy("place").agg(F.count(F.lit(1)).alias("c"), F.max("d").alias("m")).where((F.col("c") >= keep) & (F.col("m") <= cell)).select("place")
+        done = top if last else top.join(settled, "place", "left_semi")
         found = done if found is None else found.unionByName(done)
         if last:
-            return found
-        left_over = written(left_over.join(done.select("id"), "id", "left_anti"), "points")
-        if left_over.isEmpty():
-            return found
-        cell *= 2
-
-
-def sigma_outliers(points: DataFrame, k: int = 12, sigmas: float = 2.0) -> DataFrame:
+            break
+        rest = written(todo.join(settled, "place", "left_anti"), "places")
+        if rest.isEmpty():
+            break
+        todo, cell = rest, cell * 2
+    out = l.join(found, "place").select("id", "rank", "other", "d")
+    if not same:
+        return out
+    own = Window.partitionBy("id")
+    out = out.withColumn("__own", F.min(F.when(F.col("other") == F.col("id").cast(kind), F.col("rank"))).over(own)).where("__own is null or rank <> __own")
+    return out.select("id", (F.col("rank") - F.coalesce(F.col("rank") > F.col("__own"), F.lit(False)).cast("int")).alias("rank"), "other", "d").where(F.col("rank") <= k)
+
+
+def sigma_outliers(points: DataFrame, k: int = 12, sigmas: float = 2.0, near: DataFrame | None = None) -> DataFrame:
     """id, mean_m and keep: mean distance to k neighbours at most mean + sigmas * std (population)."""
-    mean = nearest(points, points, k, same=True).groupBy("id").agg(F.avg("d").alias("mean_m"))
+    near = near or nearest(points, points, k, same=True)
+    mean = near.where(F.col("rank") <= k).groupBy("id").agg(F.avg("d").alias("mean_m"))
     bound = mean.agg((F.avg("mean_m") + sigmas * F.stddev_pop("mean_m")).alias("bound"))
     return mean.crossJoin(F.broadcast(bound)).select("id", "mean_m", (F.col("mean_m") <= F.col("bound")).alias("keep"))
 
 
-def height_residual(points: DataFrame, k: int = 24) -> DataFrame:
+def height_residual(points: DataFrame, k: int = 24, near: DataFrame | None = None) -> DataFrame:
     """id, residual_m and keep: the height against the median of k neighbours'."""
-    near = nearest(points, points, k, same=True)
-    mid = near.join(points.select(F.col("id").alias("other"), F.col("u").alias("__u")), "other").groupBy("id").agg(F.median("__u").alias("__mid"))
-    res = points.select("id", "u").join(mid, "id").select("id", F.abs(F.col("u") - F.col("__mid")).alias("residual_m"))
-    bound = res.agg(F.greatest(F.lit(3.0), 6 * F.median("residual_m")).alias("bound"))
-    return res.crossJoin(F.broadcast(bound)).select("id", "residual_m", (F.col("residual_m") <= F.col("bound")).alias("keep"))
+    near = near or nearest(points, points, k, same=True)
+    mid = near.where(F.col("rank") <= k).join(points.select(F.col("id").alias("other"), F.col("u").alias("__u")), "other").groupBy("id").agg(F.median("__u").alias("__mid"))
+    res = written(points.select("id", "u").join(mid, "id").select("id", F.abs(F.col("u") - F.col("__mid")).alias("residual_m")), "residuals")
+    (middle,) = quantiles(res, [("residual_m", 0.5)])
+    return res.select("id", "residual_m", (F.col("residual_m") <= max(3.0, 6 * (middle or 0.0))).alias("keep"))
+
+
+def clean_cloud(points: DataFrame, cameras: DataFrame | None = None, k: int = 12, sigmas: float = 2.0) -> DataFrame:
+    """The points (id, e, n, u, ...) that pass the range gate, the outlier and the height test, each over
+    all finite points. Fewer than 200 points, or tests that would leave less than half, change nothing:
+    then all rows come back, those without a finite position too."""
+    n = points.count()
+    if n < 200:
+        return points
+    ok = written(points.where(finite(*AXES)), "points")
+    near = written(nearest(ok, ok, max(k, 24), same=True), "near")
+    kept = sigma_outliers(ok, k, sigmas, near).where("keep").select("id").join(height_residual(ok, max(k, 24), near).where("keep").select("id"), "id", "left_semi")
+    if cameras is not None and not cameras.isEmpty():
+        kept = kept.join(range_gate(ok, cameras, key="id").select("id"), "id", "left_semi")
+    kept = written(kept, "kept")
+    return points if kept.count() < 0.5 * n else points.join(kept, "id", "left_semi")

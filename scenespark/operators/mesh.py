@@ -5,11 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .cloud import finite
 from .graph import components
 
 
 def raster(points: DataFrame, cell: float) -> DataFrame:
-    """Median height and colour, and the count, of each cell (ix, iy)."""
+    """Median height and colour, and the count, of each cell (ix, iy); rows without a finite position go."""
+    points = points.where(finite("e", "n", "u"))
     key = [F.floor(F.col(a) / cell).cast("long").alias(k) for a, k in (("e", "ix"), ("n", "iy"))]
     return points.groupBy(*key).agg(F.median("u").alias("h"), *[F.median(c).alias(c) for c in "rgb"], F.count(F.lit(1)).alias("points"))
 

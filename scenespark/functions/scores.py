@@ -45,6 +45,14 @@ def evaluate_length(measured: Column, true: Column, tolerance: Column, percent:
     }
 
 
+def measure(measured: Column, true: Column, tolerance: Column, percent: Column) -> dict[str, Column]:
+    """The same for a request: without a positive true length only the measured one is told, and a
+    percentage of 0 counts as 5."""
+    known = F.coalesce(true > 0, F.lit(False))
+    out = evaluate_length(measured, F.when(known, true), tolerance, F.coalesce(F.when(percent != 0, percent), F.lit(5.0)))
+    return {k: c if k == "measured_m" else F.when(known, c) for k, c in out.items()}
+
+
 def building_height(height: Column, levels: Column, kind: Column, tall: tuple[str, ...]) -> Column:
     """From an explicit height (its first token), else 3.1 m a level (the first of a list), else 16 or 9
     by kind; explicit ones between 4 and 140."""

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.geo import Origin
 from ..functions.scores import band
 from ..plans.tables import written
 from .quantiles import quantiles
@@ -240,3 +241,139 @@ def clean_cloud(points: DataFrame, cameras: DataFrame | None = None, k: int = 12
         kept = kept.join(range_gate(ok, cameras, key="id").select("id"), "id", "left_semi")
     kept = written(kept, "kept")
     return points if kept.count() < 0.5 * n else points.join(kept, "id", "left_semi")
+
+
+# unions, caps and samples
+
+
+def merged(*clouds: DataFrame) -> DataFrame:
+    """All points of clouds with the same columns, repeated ones too."""
+    out = clouds[0]
+    for c in clouds[1:]:
+        out = out.unionByName(c)
+    return out
+
+
+def with_external(builtin: DataFrame, external: DataFrame, least: int = 3000) -> DataFrame:
+    """An external cloud of enough points leads, and of the built-in one only what lies on it comes along;
+    a smaller one is added to the built-in cloud as it is. Ids must differ between the two."""
+    if external.limit(least).count() >= least:
+        return external.unionByName(agreeing(external, builtin))
+    return builtin.unionByName(external)
+
+
+def sampled(df: DataFrame, key: str, most: int, seed: int = 0) -> DataFrame:
+    """At most `most` rows without replacement: those with the smallest seeded hashes of a key. The same
+    on every run; the order of the rest is the key's."""
+    return df.orderBy(F.xxhash64(F.lit(seed), F.col(key)), key).limit(most)
+
+
+def most_confident(df: DataFrame, most: int = 8000) -> DataFrame:
+    """The rows with the most confidence (ties by id), in the order of their ids."""
+    return df.orderBy(F.desc("conf"), "id").limit(most).orderBy("id")
+
+
+def first_rows(df: DataFrame, by: str, most: int = 2500) -> DataFrame:
+    return df.orderBy(by).limit(most)
+
+
+def capped(points: DataFrame, cap: int, tries: int = 8) -> DataFrame:
+    """At most cap points: fused in voxels that grow by 35 % until they are few enough, at the end a
+    sample. Fewer points stay as they are."""
+    if points.limit(cap + 1).count() <= cap:
+        return points
+    b = points.where(finite(*AXES)).agg(*[(F.max(a) - F.min(a)).alias(a) for a in AXES]).first()
+    voxel = max(max(1.0, *(b[a] or 0.0 for a in AXES)) / cap ** (1 / 3), 0.05)
+    out = points
+    for _ in range(tries):
+        out = written(voxel_fuse(points, voxel), "fused")
+        if out.count() <= cap:
+            return out
+        voxel *= 1.35
+    return out.orderBy(F.xxhash64(F.lit(0), "ke", "kn", "ku"), "ke", "kn", "ku").limit(cap)
+
+
+FUSED = ("e", "n", "u", "r", "g", "b", "conf", "observations", "source", "provenance", "uncertainty_m", "synthetic")
+
+
+def fuse_onto(fused: DataFrame | None, chunk: DataFrame, voxel: float) -> DataFrame:
+    """A fused cloud with a chunk (seq and the columns FUSED) fused in: what was fused counts as points that
+    come before the chunk's, so confidence grows again with each chunk, and the result depends on how
+    points were cut into chunks."""
+    if fused is None:
+        return voxel_fuse(chunk, voxel)
+    first = fused.withColumn("seq", F.lit(-(1 << 62)).cast("long"))
+    return voxel_fuse(first.select("seq", *FUSED).unionByName(chunk.select("seq", *FUSED)), voxel)
+
+
+def track_gate(points: DataFrame, track: DataFrame) -> DataFrame:
+    """Points nearer to the mean of a track's places than 1.8 times (its extent and 40 m), 80 m at least."""
+    t = track.agg(*[F.avg(a).alias(f"__m{a}") for a in AXES], F.greatest(F.max("e") - F.min("e"), F.max("n") - F.min("n")).alias("__span"))
+    far = F.sqrt(sum((F.pow(F.col(a) - F.col(f"__m{a}"), 2) for a in "nu"), F.pow(F.col("e") - F.col("__me"), 2)))
+    return points.crossJoin(F.broadcast(t)).where(far < F.greatest(1.8 * (F.col("__span") + 40.0), F.lit(80.0))).select(points.columns)
+
+
+def far_trim(points: DataFrame, cameras: DataFrame, key: str = "id") -> DataFrame:
+    """Points no farther from a camera over ground than 1.5 times the flight's extent, 150 m at least; all if
+    that leaves fewer than 50."""
+    span = cameras.agg(*[(F.max(a) - F.min(a)).cast("double").alias(a) for a in "en"]).first()
+    if span["e"] is None:
+        return points
+    spots = cameras.select(F.monotonically_increasing_id().alias("id"), "e", "n")
+    near = nearest(points.select(F.col(key).alias("id"), "e", "n"), spots, 1, axes=("e", "n"))
+    kept = written(near.where(F.col("d") <= max(1.5 * max(span["e"], span["n"]), 150.0)).select(F.col("id").alias(key)), "kept")
+    return points if kept.limit(50).count() < 50 else points.join(kept, key, "left_semi")
+
+
+def scene_box(camera_height: Column) -> Column:
+    """Whether a point lies in the box around its scene: 250 m to each side, 80 m up or down, and not far
+    above the camera."""
+    return (F.abs("u") <= 80) & (F.abs("e") <= 250) & (F.abs("n") <= 250) & (F.col("u") <= F.greatest(camera_height, F.lit(2.0)) + 8)
+
+
+def opaque(gaussians: DataFrame, least: float = 0.02, few: int = 16) -> DataFrame:
+    """Gaussians that can be seen through less than nearly wholly; all if fewer than `few` are."""
+    n = gaussians.agg(F.count_if(F.col("opacity") > least).alias("__n"))
+    return gaussians.crossJoin(F.broadcast(n)).where((F.col("opacity") > least) | (F.col("__n") < few)).drop("__n")
+
+
+def primitive_scales(points: DataFrame, refs: int = 1024) -> DataFrame:
+    """id and scale: 0.6 times the distance, between 2 cm and 1.5 m, to the nearest of a sample of the
+    points, to the second nearest where that is the point itself; 0.05 for a point alone. The sample
+    is bounded and goes to all tasks as part of the expression's data."""
+    n = points.limit(2).count()
+    if n < 2:
+        return points.select("id", F.lit(0.05).alias("scale"))
+    ref = sampled(points, "id", refs).agg(F.collect_list(F.struct(*[F.col(a).cast("double").alias(a) for a in AXES])).alias("__ref"))
+    d = F.transform("__ref", lambda r: F.sqrt((F.col("e") - r["e"]) * (F.col("e") - r["e"]) + (F.col("n") - r["n"]) * (F.col("n") - r["n"]) + (F.col("u") - r["u"]) * (F.col("u") - r["u"])))
+    two = F.slice(F.array_sort(d), 1, 2)
+    near = F.when((two[0] < 1e-4) & (F.size(two) > 1), F.try_element_at(two, F.lit(2))).otherwise(two[0])
+    return points.crossJoin(F.broadcast(ref)).select("id", (F.least(F.greatest(near, F.lit(0.02)), F.lit(1.5)) * 0.6).alias("scale"))
+
+
+def gaussian_stats(points: DataFrame) -> DataFrame:
+    """Mean and (sample) deviation of the places on each axis."""
+    return points.agg(*[f(a).alias(f"{k}_{a}") for a in AXES for k, f in (("mean", F.avg), ("std", F.stddev_samp))])
+
+
+def framing(points: DataFrame, low: float = 0.02, high: float = 0.98, ground: float = 0.08) -> DataFrame:
+    """The box to look at: for each axis the values at floor(2 % n) and floor(98 % n) of its order, and the
+    ground at floor(8 % n) of the heights. Discrete: a value that occurs, never one between two."""
+    ok = written(points.where(finite(*AXES)).select(*AXES), "points")
+    n = ok.count()
+    if not n:
+        return ok.sparkSession.createDataFrame([], "axis string, lo double, hi double, ground double")
+    at = lambda p: min(n - 1, int(n * p)) / max(n - 1, 1)
+    # the quantile at rank / (n - 1) is the value of that rank itself
+    v = quantiles(ok, [(a, at(p)) for a in AXES for p in (low, high)] + [("u", at(ground))])
+    return ok.sparkSession.createDataFrame([(a, v[2 * i], v[2 * i + 1], v[6]) for i, a in enumerate(AXES)], "axis string, lo double, hi double, ground double")
+
+
+def extents(points: DataFrame) -> DataFrame:
+    return points.where(finite(*AXES)).agg(*[(F.max(a) - F.min(a)).alias(a) for a in AXES])
+
+
+def payload(points: DataFrame, origin: Origin) -> DataFrame:
+    """Points with latitude, longitude and height, and their band."""
+    lat, lon, height = origin.geodetic(F.col("e"), F.col("n"), F.col("u"))
+    return points.select("*", lat.alias("lat"), lon.alias("lon"), height.alias("height"), band(F.col("conf")).alias("band"))

@@ -29,6 +29,11 @@ FRAMES = """SELECT doc_id AS idx, CAST(n_chars % 97 AS DOUBLE) AS sharpness, CAS
 MESH = """SELECT p_partkey * 2 + h.half AS fid, p_partkey AS a, CASE WHEN h.half = 0 THEN p_partkey + 1 ELSE p_partkey + 101 END AS b,
     CASE WHEN h.half = 0 THEN p_partkey + 101 ELSE p_partkey + 100 END AS c, CASE WHEN p_size % 3 = 0 THEN 0 ELSE 1 END AS seen
     FROM part, (SELECT 0 AS half UNION ALL SELECT 1 AS half) h"""
+# the whole faces of that mesh, its vertices, and cameras that look down at a slant
+SOLID = MESH + " WHERE p_partkey + 101 <= (SELECT max(p_partkey) FROM part)"
+VERTS = "SELECT p_partkey AS vid, CAST(p_partkey % 100 AS DOUBLE) AS x, CAST(floor(p_partkey / 100) AS DOUBLE) AS y, p_size / 10 AS z, CAST(p_partkey % 256 AS INT) AS r, CAST(p_size AS INT) AS g, 7 AS b FROM part"
+CAMS = "SELECT n_nationkey AS cam, n_nationkey * 4.0 AS e, n_regionkey * 4.0 AS n, CAST(30 + n_nationkey AS DOUBLE) AS u, cos(radians(n_nationkey * 2.0)) AS c, sin(radians(n_nationkey * 2.0)) AS s FROM nation"
+SIGHTS = "SELECT DISTINCT l_partkey AS point, l_suppkey AS img, CAST(l_partkey % 640 AS DOUBLE) AS x, CAST(l_suppkey % 480 AS DOUBLE) AS y FROM lineitem"
 BOXES = """SELECT n_nationkey AS box, CASE n_nationkey % 4 WHEN 0 THEN 'road' WHEN 1 THEN 'facade' WHEN 2 THEN 'ground' ELSE 'fill' END AS tag, n_nationkey * 4.0 - 50 AS min_e, n_nationkey * 4.0 - 40 AS max_e,
     n_regionkey * 20.0 - 50 AS min_n, n_regionkey * 20.0 - 20 AS max_n, -2.0 AS min_u, 3.0 AS max_u FROM nation"""
 LOG = "SELECT user_id AS job, event_id AS seq, CASE event_type WHEN 'click' THEN 'status' WHEN 'view' THEN 'stage' WHEN 'purchase' THEN 'done' WHEN 'error' THEN 'error' ELSE 'meta' END AS type, value, CAST(event_id % 7 AS INT) * 10 AS progress FROM events"
@@ -38,8 +43,8 @@ EDGES = "SELECT DISTINCT l_partkey AS a, l_suppkey + 1000000 AS b FROM lineitem
 WHOLE_EDGES = "SELECT DISTINCT l_partkey AS a, l_suppkey + 1000000 AS b FROM lineitem"
 PAIRS = "SELECT e AS px, n AS py, u AS pz, 10 - 3.4 * n AS qx, -4 + 3.4 * e AS qy, 2 + 3.4 * u AS qz FROM cloud"
 
-VIEWS = {"track": TRACK, "cloud": CLOUD, "parts": PARTS, "customers": CUSTOMERS, "suppliers": SUPPLIERS, "cameras": CAMERAS, "frames": FRAMES, "mesh": MESH, "boxes": BOXES, "log": LOG, "samples": SAMPLES, "splits": SPLITS, "edges": EDGES, "whole_edges": WHOLE_EDGES}
-TABLES = ("nation", "customer", "supplier", "part", "lineitem", "events", "documents", "embeddings", "labels")
+VIEWS = {"track": TRACK, "cloud": CLOUD, "parts": PARTS, "customers": CUSTOMERS, "suppliers": SUPPLIERS, "cameras": CAMERAS, "frames": FRAMES, "mesh": MESH, "boxes": BOXES, "log": LOG, "samples": SAMPLES, "splits": SPLITS, "edges": EDGES, "whole_edges": WHOLE_EDGES, "solid": SOLID, "verts": VERTS, "cams": CAMS, "sights": SIGHTS}
+TABLES = ("nation", "customer", "supplier", "part", "lineitem", "events", "documents", "embeddings", "labels", "orders")
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
 
@@ -294,7 +299,7 @@ _SCORE = "0.35 * least(sharpness / 120, 1) + 0.3 * least(features / 250, 1) + 0.
 
 @query(
     f"""+ g AS (SELECT idx, {_SCORE} AS score, sharpness < 18 AS x, exposure < 0.18 AS y, redundancy > 0.992 AS z FROM frames), r AS (SELECT *, count(*) FILTER (WHERE NOT (x OR y OR z)) OVER (ORDER BY idx) AS k FROM g)
-    SELECT idx, round(score, 6) AS score, concat_ws(',', CASE WHEN x THEN 'blur' END, CASE WHEN y THEN 'illumination' END, CASE WHEN z THEN 'redundant' END) AS reasons, NOT (x OR y OR z) AND k <= 90 AS keep FROM r"""
+    SELECT idx, round(score, 6) AS score, concat_ws(',', CASE WHEN x THEN 'motion_blur' END, CASE WHEN y THEN 'illumination' END, CASE WHEN z THEN 'redundant' END) AS reasons, NOT (x OR y OR z) AND k <= 90 AS keep FROM r"""
 )
 def frame_gate(v: Views) -> DataFrame:
     f = v.frames.withColumn("score", scores.frame_score(*map(F.col, ("sharpness", "features", "texture", "exposure", "redundancy"))))
@@ -364,13 +369,21 @@ def building_height_whole(v: Views) -> DataFrame:
     return rounded(v.table("part").select("p_partkey", scores.building_height(height, levels, kind, ("LARGE", "PROMO")).alias("h")))
 
 
-@query(f"+ q AS ({PAIRS}) SELECT count(*)::BIGINT AS n, round(var_pop(px) + var_pop(py) + var_pop(pz), 4) AS var, round(covar_pop(px, qx), 4) AS cxx, round(covar_pop(px, qy), 4) AS cxy, round(covar_pop(py, qx), 4) AS cyx, round(covar_pop(pz, qz), 4) AS czz, round(avg(qx), 4) AS mqx FROM q")
+_NINE = [(a, b) for a in "xyz" for b in "xyz"]
+
+
+@query(f"+ q AS ({PAIRS}) SELECT count(*)::BIGINT AS n, round(var_pop(px) + var_pop(py) + var_pop(pz), 4) AS var, " + ", ".join(f"round(covar_pop(p{a}, q{b}), 4) AS c{a}{b}" for a, b in _NINE) + ", round(avg(qx), 4) AS mqx FROM q")
 def umeyama_moments(v: Views) -> DataFrame:
     m = matching.similarity_moments(_pairs(v))
-    return rounded(m.select("n", "var", "cxx", "cxy", "cyx", "czz", "mqx"), 4)
+    return rounded(m.select("n", "var", *[f"c{a}{b}" for a, b in _NINE], "mqx"), 4)
 
 
-@query("SELECT 3.4::DOUBLE AS scale, 0.0::DOUBLE AS xx, -1.0::DOUBLE AS xy, 1.0::DOUBLE AS yx, 1.0::DOUBLE AS zz, 10.0::DOUBLE AS tx, -4.0::DOUBLE AS ty, 2.0::DOUBLE AS tz FROM nation LIMIT 1")
+# the pairs are an exact similarity in which each target axis follows one source axis: slopes and means tell it
+@query(
+    f"""+ q AS ({PAIRS}), k AS (SELECT sqrt((var_pop(qx) + var_pop(qy) + var_pop(qz)) / (var_pop(px) + var_pop(py) + var_pop(pz))) AS s, regr_slope(qx, py) AS xy, regr_slope(qy, px) AS yx, regr_slope(qz, pz) AS zz,
+        avg(px) AS mx, avg(py) AS my, avg(pz) AS mz, avg(qx) AS nx, avg(qy) AS ny, avg(qz) AS nz FROM q), x AS (SELECT regr_slope(qx - k.xy * py, px) AS xx FROM q, k)
+    SELECT round(s, 6) + 0.0 AS scale, round(xx / s, 6) + 0.0 AS xx, round(xy / s, 6) + 0.0 AS xy, round(yx / s, 6) + 0.0 AS yx, round(zz / s, 6) + 0.0 AS zz, round(nx - xy * my, 6) + 0.0 AS tx, round(ny - yx * mx, 6) + 0.0 AS ty, round(nz - zz * mz, 6) + 0.0 AS tz FROM k, x"""
+)
 def umeyama_fit(v: Views) -> DataFrame:
     f = matching.fit_similarity(matching.similarity_moments(_pairs(v)))
     near = lambda c: (F.round(c, 6) + 0.0)
@@ -380,3 +393,7 @@ def umeyama_fit(v: Views) -> DataFrame:
 
 def _pairs(v: Views) -> DataFrame:
     return v.spark.sql(PAIRS.replace("FROM cloud", "FROM {cloud}"), cloud=v.cloud)
+
+
+# the other half registers itself here
+from . import scene_queries  # noqa: E402, F401

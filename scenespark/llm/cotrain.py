@@ -208,6 +208,7 @@ def _fit(views: DataFrame, known: DataFrame, most_labelled: int, taught: int, ro
     """views: doc_id, view; known: doc_id, y."""
     sc = views.sparkSession.sparkContext
     with_id = views.where("doc_id is not null")
+    known = known.hint("merge")  # labels grow with the input: never sent to all tasks
     order = (F.xxhash64("doc_id"), "doc_id")
     # bounded: most_labelled rows
     sample = with_id.join(known, "doc_id").orderBy(*order).limit(most_labelled).collect()
@@ -216,7 +217,7 @@ def _fit(views: DataFrame, known: DataFrame, most_labelled: int, taught: int, ro
         return None
     x, y = _views([v for _, _, v in got]), np.array([n for _, n, _ in got], float)
     # all documents without a label; those that look alike in both views count once
-    pool = with_id.join(known.select("doc_id"), "doc_id", "left_anti").select(F.xxhash64("view").alias("key"), "view")
+    pool = with_id.join(known.select("doc_id").hint("merge"), "doc_id", "left_anti").select(F.xxhash64("view").alias("key"), "view")
     pool = materialize(pool.groupBy("key").agg(F.first("view").alias("view")), "pool")
     taken: list[int] = []
 

@@ -49,13 +49,14 @@ def camera_intrinsics(v: Views) -> DataFrame:
 
 @query(
     """+ g AS (SELECT track, seq, sin(radians(heading)) AS s, cos(radians(heading)) AS c, alt - 150 AS h, (seq % 640 - 320) / 474.4 AS px, (seq % 360 - 180) / 474.4 AS py FROM track), r AS (SELECT *, c * px - s * py AS re, -s * px - c * py AS rn, sqrt(px * px + py * py + 1) AS m FROM g)
-    SELECT track, seq, round(h * re, 4) AS e, round(h * rn, 4) AS n, round(h * m, 4) AS ray_m FROM r WHERE h * m > 1 AND h * m <= 4 * (h + 150)"""
+    SELECT track, seq, round(h * re, 4) + 0.0 AS e, round(h * rn, 4) + 0.0 AS n, round(h * m, 4) AS ray_m FROM r WHERE h * m > 1 AND h * m <= 4 * (h + 150)"""
 )
 def ground_points(v: Views) -> DataFrame:
     """Where pixels of straight-down cameras meet the ground."""
     h = F.col("alt") - 150
     got = camera.ground_point((F.lit(0.0), F.lit(0.0), h), camera.nadir_rotation(F.col("heading")), F.col("alt"), (F.col("seq") % 640).cast("double"), (F.col("seq") % 360).cast("double"), F.lit(474.4), F.lit(474.4), F.lit(320.0), F.lit(180.0))
-    return rounded(v.track.select("track", "seq", *[c.alias(k) for k, c in got.items()]).where("ok").drop("ok"), 4)
+    out = v.track.select("track", "seq", *[c.alias(k) for k, c in got.items()]).where("ok").drop("ok")
+    return rounded(out, 4).withColumns({a: F.col(a) + 0.0 for a in "en"})  # no minus zero
 
 
 @query(
@@ -436,8 +437,8 @@ def route_costs(v: Views) -> DataFrame:
     """The cheapest way from the first cell to each that can be reached."""
     g = route.height_grid(v.verts, v.solid)
     w = route.walkable(g, _blocks(v))
-    start = w.orderBy("ix", "iy").select("ix", "iy").first()
-    return rounded(route.relaxed_costs(route.grid_edges(w, g.cell), (start["ix"], start["iy"])), 5)
+    start = w.orderBy("ix", "iy").limit(1).select(F.lit(0).cast("long").alias("request"), "ix", "iy")
+    return rounded(route.shortest_paths(route.grid_edges(w, g.cell), start).select("ix", "iy", "cost"), 5)
 
 
 @query(_HEIGHT + " SELECT ix, iy FROM gr, ce WHERE greatest(abs(ix - floor((3.3 - e0) / cell)), abs(iy - floor((-2.1 - n0) / cell))) <= 5 ORDER BY greatest(abs(ix - floor((3.3 - e0) / cell)), abs(iy - floor((-2.1 - n0) / cell))), sqrt(pow(e0 + (ix + 0.5) * cell - 3.3, 2) + pow(n0 + (iy + 0.5) * cell + 2.1, 2)), ix, iy LIMIT 1")

@@ -148,14 +148,14 @@ def test_components_of_the_whole_table(spark, sf):
     for a, b in edges:
         a, b = top(a), top(b)
         up[max(a, b)] = min(a, b)
-    got = {r.node: r.comp for r in entry.queries()["connected_components_whole"](spark, sf).collect()}
+    got = {r.node: r.comp for r in entry.queries()["connected_components"](spark, sf).collect()}
     assert got == {x: top(x) for x in up}
 
 
 def test_building_heights_of_the_whole_table(spark, sf):
     import __spark_entry__ as entry
 
-    got = {r.p_partkey: r.h for r in entry.queries()["building_height_whole"](spark, sf).collect()}
+    got = {r.p_partkey: r.h for r in entry.queries()["building_height"](spark, sf).collect()}
     parts = {r.p_partkey: r for r in spark.read.parquet(f"{sf}/part.parquet").collect()}
     assert set(got) == set(parts)
     rest = {i: got[i] for i, r in parts.items() if r.p_size % 3 == 2}

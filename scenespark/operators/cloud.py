@@ -88,19 +88,26 @@ def _square(a: str, b: str, axes: tuple[str, ...]) -> Column:
 def _cells(df: DataFrame, cell: float, low: dict[str, float], most: dict[str, int], spread: bool) -> DataFrame:
     """__cell: one number for the cell of each point, counted from the lowest corner; with spread also
     of the cells around it. Points beyond the grid fall into its margin of two cells."""
-    at = {x: F.least(F.greatest(F.floor((F.col(x) - low[x]) / cell), F.lit(-2)), F.lit(most[x] + 2)).cast("long") + 3 for x in low}
-    offsets = [()]
-    for _ in low:
-        offsets = [(*o, d) for o in offsets for d in ((-1, 0, 1) if spread else (0,))]
-
-    def key(offset: tuple[int, ...]) -> Column:
-        k = F.lit(0).cast("long")
-        for x, d in zip(low, offset):
-            k = k * (most[x] + 7) + at[x] + d
-        return k
-
-    keys = [key(o) for o in offsets]
-    return df.withColumn("__cell", F.explode(F.array(*keys)) if spread else keys[0])
+    key = F.lit(0).cast("long")
+    offsets = [0]
+    for x in low:
+        at = F.least(F.greatest(F.floor((F.col(x) - low[x]) / cell), F.lit(-2)), F.lit(most[x] + 2)).cast("long") + 3
+        key = key * (most[x] + 7) + at
+        offsets = [o * (most[x] + 7) + d for o in offsets for d in ((-1, 0, 1) if spread else (0,))]
+    df = df.withColumn("__cell", key)
+    # neighbouring cells differ by fixed numbers
+    return df.withColumn("__near", F.explode(F.array(*[F.lit(o).cast("long") for o in offsets]))).withColumn("__cell", F.col("__cell") + F.col("__near")).drop("__near") if spread else df
+
+
+def _counts(df: DataFrame, finest: float, levels: int, low: dict[str, float], name: str) -> DataFrame:
+    """(level, cell, count): how many points are in each cell of sizes finest, twice, four times that and so
+    on, from one pass. At most 2**20 cells a side are told apart."""
+    at = [F.least(F.greatest(F.floor((F.col(x) - low[x]) / finest), F.lit(-1)), F.lit((1 << 20) - 2)).cast("long") + 1 for x in low]
+    d = df.select(*[c.alias(f"__{i}") for i, c in enumerate(at)]).withColumn("level", F.explode(F.array(*[F.lit(j) for j in range(levels)])))
+    cell = F.lit(0).cast("long")
+    for i in range(len(at)):
+        cell = cell * (1 << 21) + F.expr(f"shiftright(__{i}, level)")
+    return d.select("level", cell.alias("cell")).groupBy("level", "cell").agg(F.count(F.lit(1)).cast("double").alias(name))
 
 
 def _grid(df: DataFrame, axes: tuple[str, ...]) -> tuple[int, dict[str, float], dict[str, float]]:
@@ -112,6 +119,27 @@ def _steps_of(cell: float, low: dict[str, float], high: dict[str, float]) -> dic
     return {a: int((high[a] - low[a]) / cell) + 1 for a in low}
 
 
+def _uncrowded(points: DataFrame, cell: float, least: float, low: dict[str, float], most: float, levels: int = 6) -> float:
+    """The largest of cell, half of it and so on in whose cells the squares of the counts add up to at most
+    most; least if none does. Several sizes are counted in one pass."""
+    while cell > least:
+        finest = cell / 2 ** (levels - 1)
+        counts = _counts(points, finest, levels, low, "c").groupBy("level").agg(F.sum(F.col("c") * F.col("c")).alias("s")).collect()
+        fine = [r["level"] for r in counts if r["s"] <= most]
+        if fine:
+            return max(finest * 2 ** max(fine), least)
+        cell = finest / 2
+    return least
+
+
+def _denser(todo: DataFrame, others: DataFrame, cell: float, far: float, low: dict[str, float], want: float, levels: int = 8) -> float:
+    """The smallest of twice, four times the cell and so on in which a point of todo has on average `want`
+    others in its own cell; the largest looked at if none does. All sizes are counted in one pass."""
+    met = _counts(todo, 2 * cell, levels, low, "t").join(_counts(others, 2 * cell, levels, low, "o"), ["level", "cell"], "left")
+    good = [r["level"] for r in met.groupBy("level").agg((F.sum(F.col("t") * F.coalesce("o", F.lit(0.0))) / F.sum("t")).alias("m")).collect() if r["m"] >= want]
+    return min(2 * cell * 2 ** (min(good) if good else levels - 1), 2 * far)
+
+
 def radius_pairs(left: DataFrame, right: DataFrame, radius: float, axes: tuple[str, ...] = AXES) -> DataFrame:
     """(l, r, d) of points strictly closer than radius: an equi-join on cells of that size, the left
     side also in the neighbouring cells."""
@@ -149,17 +177,19 @@ def nearest(left: DataFrame, right: DataFrame, k: int, axes: tuple[str, ...] = A
     Exact. Points at one place count once, with the ids that can matter, so copies do not multiply.
     Cells are small enough that a point meets few others: from the volume that so many points fill,
     halved while the cells that points are in are crowded. A place is settled when its last neighbour is
-    no farther than a cell; the others meet again in cells twice as large, only they being spread."""
+    no farther than a cell; the others, only they being spread, meet again in larger cells: twice as large,
+    or of the size in which the rest has company."""
     keep = k + 1 if same else k
     place = F.struct(*[(F.col(a).cast("double") + 0.0).alias(a) for a in axes]).alias("place")
-    l, r = (written(x.where(finite(*axes)).select("id", place), "points") for x in (left, right))
-    spots = l.select("place").distinct().select("place", "place.*")
-    spots = written(spots, "places")
+    l = written(left.where(finite(*axes)).select("id", place), "points")
+    r = l if left is right else written(right.where(finite(*axes)).select("id", place), "points")
+    spots = written(l.select("place").distinct().select("place", "place.*"), "places")
     ranked = r.withColumn("__r", F.row_number().over(Window.partitionBy("place").orderBy("id"))).where(F.col("__r") <= keep)
     others = written(ranked.groupBy("place").agg(F.sort_array(F.collect_list("id")).alias("ids")).select("ids", "place.*"), "places")
     n, low, high = _grid(others, axes)
     kind = l.schema["id"].dataType
-    if not n or spots.isEmpty():
+    held, *bounds = _grid(spots, axes)
+    if not n or not held:
         return l.select("id", F.lit(0).alias("rank"), F.col("id").alias("other"), F.lit(0.0).alias("d")).limit(0)
     extent = max(high[a] - low[a] for a in axes)
     least = max(extent / 2**19, 1e-9)
@@ -170,17 +200,12 @@ def nearest(left: DataFrame, right: DataFrame, k: int, axes: tuple[str, ...] = A
             volume = 1.0
             for w in wide:
                 volume *= w
-            cell = max((volume * (keep + 1) / 2 / n) ** (1 / len(wide)), least)
-            while cell / 2 > least:
-                counts = _cells(others, cell, low, _steps_of(cell, low, high), False).groupBy("__cell").agg(F.count(F.lit(1)).cast("double").alias("c"))
-                if counts.agg(F.sum(F.col("c") * F.col("c"))).first()[0] <= 4 * (keep + 1) * n:
-                    break
-                cell /= 2
+            cell = max((volume * (keep + 1) * 0.75 / n) ** (1 / len(wide)), least)
+            cell = _uncrowded(others, cell, least, low, 1.5 * (keep + 1) * n)
     cell = max(cell, least)
-    bounds = _grid(spots, axes)
-    far = max(max(high[a], bounds[2][a]) - min(low[a], bounds[1][a]) for a in axes) + 1
+    far = max(max(high[a], bounds[1][a]) - min(low[a], bounds[0][a]) for a in axes) + 1
     found: DataFrame | None = None
-    todo = spots
+    todo, todo_n = spots, held
     while True:
         last = cell > far
         most = _steps_of(cell, low, high)
@@ -199,9 +224,12 @@ def nearest(left: DataFrame, right: DataFrame, k: int, axes: tuple[str, ...] = A
         if last:
             break
         rest = written(todo.join(settled, "place", "left_anti"), "places")
-        if rest.isEmpty():
+        few = rest.count()
+        if not few:
             break
-        todo, cell = rest, cell * 2
+        # where hardly any place was settled the rest lies in a thinner part: go on with cells for that
+        cell = cell * 2 if few < 0.5 * todo_n else _denser(rest, others, cell, far, low, (keep + 1) / 2)
+        todo, todo_n = rest, few
     out = l.join(found, "place").select("id", "rank", "other", "d")
     if not same:
         return out

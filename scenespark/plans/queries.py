@@ -187,7 +187,8 @@ _KNN = """+ d AS (SELECT a.id, b.id AS other, sqrt((a.e - b.e) * (a.e - b.e) + (
 
 @query(_KNN + " SELECT id, rank, other, round(d, 6) AS d FROM k WHERE rank <= 5")
 def knn_topk(v: Views) -> DataFrame:
-    return rounded(cloud.nearest(v.parts, v.parts, 5, same=True).select("id", "rank", "other", "d"))
+    p = v.parts
+    return rounded(cloud.nearest(p, p, 5, same=True).select("id", "rank", "other", "d"))
 
 
 @query(_KNN + ", m AS (SELECT id, avg(d) AS m FROM k WHERE rank <= 12 GROUP BY id), s AS (SELECT avg(m) + 2 * stddev_pop(m) AS bound FROM m) SELECT id, round(m, 6) AS mean_m, m <= bound AS keep FROM m, s")

@@ -57,3 +57,14 @@ def test_outliers_take_neighbours_as_lists(spark):
     d = np.sort(np.sqrt(((x[:, None] - x[None]) ** 2).sum(2)), 1)[:, 1:13].mean(1)
     assert got == pytest.approx(dict(enumerate(d.tolist())))
     assert "Window" not in plan(cloud.nearest(df, df, 12, same=True))
+
+
+def test_cleaning_writes_a_row_a_point(spark, monkeypatch):
+    """The neighbours of a cloud are never written as a table of pairs."""
+    df = spark.createDataFrame(rows_of(np.random.default_rng(2).normal(size=(260, 3))), POINT)
+    most, write = [], cloud.written
+    monkeypatch.setattr(cloud, "written", lambda t, label: most.append((out := write(t, label)).count()) or out)
+    assert 200 < cloud.clean_cloud(df).count() < 260 and max(most) <= 260
+
+
+@pytest.mark.parametrize("ratio", [0.95, 0.8])

@@ -67,4 +67,17 @@ def test_cleaning_writes_a_row_a_point(spark, monkeypatch):
     assert 200 < cloud.clean_cloud(df).count() < 260 and max(most) <= 260
 
 
+def test_heights_meet_no_other_table(spark):
+    """The neighbours bring their heights along: one join, of a point with its own median."""
+    x = np.random.default_rng(3).normal(size=(120, 3))
+    df = spark.createDataFrame(rows_of(x), POINT)
+    joins, write = [], cloud.written
+    with pytest.MonkeyPatch.context() as m:
+        m.setattr(cloud, "written", lambda t, label: joins.append(t._jdf.queryExecution().optimizedPlan().toString().count("Join ")) or write(t, label))
+        got = {r.id: r.residual_m for r in cloud.height_residual(df, 10).collect()}
+    d = np.sqrt(((x[:, None] - x[None]) ** 2).sum(2))
+    want = [abs(x[i, 2] - np.median(x[np.argsort(d[i])[1:11], 2])) for i in range(len(x))]
+    assert got == pytest.approx(dict(enumerate(want))) and joins == [1]
+
+
 @pytest.mark.parametrize("ratio", [0.95, 0.8])

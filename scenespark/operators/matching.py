@@ -4,22 +4,94 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..plans.tables import written
+
+
+#: So many descriptors of an image meet as many of another at once; so many distances are held at a time.
+BLOCK, HELD = 4_096, 1 << 20
+
+
+def _two(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For each row of x its one or two nearest rows of y, ties to the first: row of x, row of y, distance. A
+    matrix product tells which can be among them; their distances are summed component by component."""
+    out = []
+    xx, yy = (x * x).sum(1), (y * y).sum(1)
+    for b in range(0, len(x), step := max(1, HELD // len(y))):
+        with np.errstate(invalid="ignore", over="ignore"):
+            g = xx[b : b + step, None] + yy[None] - 2 * (x[b : b + step] @ y.T)
+        if np.isfinite(g).all():
+            most = np.partition(g, 1, axis=1)[:, 1] if len(y) > 1 else g[:, 0]
+            slack = 8 * np.finfo(float).eps * (x.shape[1] + 8) * (xx[b : b + step] + yy.max())
+            row, col = np.nonzero(g <= (most + slack)[:, None])
+        else:
+            row, col = (v.ravel() for v in np.indices(g.shape))
+        row = row + b
+        s = np.zeros(len(row))
+        for c in range(0, len(row), 1 << 16):
+            part = slice(c, c + (1 << 16))
+            u, v = x[row[part]], y[col[part]]
+            with np.errstate(invalid="ignore", over="ignore"):
+                for t in range(x.shape[1]):
+                    s[part] += (u[:, t] - v[:, t]) * (u[:, t] - v[:, t])
+        s = np.sqrt(s)
+        o = np.lexsort((col, s, row))
+        row, col, s = row[o], col[o], s[o]
+        first = np.arange(len(row)) - np.searchsorted(row, row) < 2
+        out.append((row[first], col[first], s[first]))
+    return tuple(np.concatenate(c) for c in zip(*out))
+
+
+def _match(left: pa.Table, right: pa.Table) -> pa.Table:
+    """Both ways: the one or two nearest of each keypoint."""
+    keys = ("i", "j", "dim", "a", "b")
+    sides = [t.take(pc.sort_indices(t, sort_keys=[("kp", "ascending")])).combine_chunks() if len(t) else t for t in (left, right)]
+    parts = []
+    if len(left) and len(right):
+        one = [left.column(k)[0].as_py() for k in keys]
+        flat = [np.asarray(pc.list_flatten(t.column("desc")).to_numpy(), float).reshape(len(t), one[2]) for t in sides]
+        for mine, other, way in ((0, 1, True), (1, 0, False)):
+            row, col, d = _two(flat[mine], flat[other])
+            kp, near = (sides[m].column("kp").take(pa.array(v)) for m, v in ((mine, row), (other, col)))
+            fixed = {k: pa.array([one[n]] * len(row), left.schema.field(k).type) for n, k in enumerate(keys[:2])}
+            parts.append(pa.table({**fixed, "way": pa.array([way] * len(row), pa.bool_()), "kp": kp, "d": pa.array(d), "other": near}))
+    if parts:
+        return pa.concat_tables(parts)
+    kind = left.schema.field("kp").type
+    return pa.table({k: pa.array([], t) for k, t in (("i", left.schema.field("i").type), ("j", left.schema.field("j").type), ("way", pa.bool_()), ("kp", kind), ("d", pa.float64()), ("other", kind))})
+
 
 def mutual_matches(desc: DataFrame, pairs: DataFrame, ratio: float = 0.8, least: int = 8) -> DataFrame:
     """(i, j, ka, kb, d): for each image pair the keypoints that are each other's nearest and clearly
-    nearer than the second. An image's descriptors are bounded by its keypoints; pairs are blocked."""
-    enough = desc.groupBy("img").agg(F.count(F.lit(1)).alias("c")).where(F.col("c") >= least).select("img")
-    d = desc.join(enough, "img", "left_semi").select("img", "kp", F.col("desc").cast("array<double>").alias("desc"))
+    nearer than the second; images with fewer than least are left out. All keypoints of a pair meet, in blocks
+    of which each gives two candidates a keypoint, so no distance becomes a row unless it may count.
+    Descriptors that are null, hold a null or differ in length have no distance."""
+    enough = desc.groupBy("img").agg(F.count(F.lit(1)).alias("c")).where(F.col("c") >= least).select("img", F.ceil(F.col("c") / BLOCK).cast("int").alias("cuts"))
+    kind = desc.schema["desc"].dataType.simpleString()
+    d = desc.join(enough, "img").where("desc is not null and not exists(desc, x -> x is null)")
+    d = d.select("img", "kp", F.col("desc") if kind == "array<float>" else F.col("desc").cast("array<double>").alias("desc"), F.size("desc").alias("dim"), F.pmod(F.xxhash64("kp"), F.col("cuts")).cast("int").alias("cut"))
     p = pairs.select("i", "j").distinct()
-    met = p.join(d.select(F.col("img").alias("i"), F.col("kp").alias("ka"), F.col("desc").alias("x")), "i").join(d.select(F.col("img").alias("j"), F.col("kp").alias("kb"), F.col("desc").alias("y")), "j")
-    met = met.select("i", "j", "ka", "kb", F.sqrt(F.aggregate(F.zip_with("x", "y", lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, v: s + v)).alias("d"))
-    best = lambda mine, other: F.row_number().over(Window.partitionBy("i", "j", mine).orderBy("d", other))
-    second = lambda mine, other: F.lead("d").over(Window.partitionBy("i", "j", mine).orderBy("d", other))
-    ranked = met.withColumns({"ra": best("ka", "kb"), "sa": second("ka", "kb"), "rb": best("kb", "ka"), "sb": second("kb", "ka")})
-    return ranked.where((F.col("ra") == 1) & (F.col("rb") == 1) & (F.col("d") < ratio * F.col("sa")) & (F.col("d") < ratio * F.col("sb"))).select("i", "j", "ka", "kb", "d")
+    for k in "ij":
+        p = p.join(enough.select(F.col("img").alias(k), F.col("cuts").alias(f"c{k}")), k)
+
+    def dealt(mine: str, other: str, own: str, theirs: str):
+        met = p.join(d.withColumnRenamed("img", mine).withColumnRenamed("cut", own), mine)
+        met = met.withColumn(theirs, F.explode(F.sequence(F.lit(0), F.col(f"c{other}") - 1)))
+        met = met.select(*[F.col(c).alias(c) for c in ("i", "j", "dim", "a", "b", "kp", "desc")])  # new names: both sides come from one table
+        # so many that the few pairs of a small collection still go to different tasks
+        n = max(int(desc.sparkSession.conf.get("spark.sql.shuffle.partitions")), 8 * desc.sparkSession.sparkContext.defaultParallelism)
+        return met.repartition(n, "i", "j", "dim", "a", "b").groupBy("i", "j", "dim", "a", "b")
+
+    types = {c: desc.schema[c].dataType.simpleString() for c in ("img", "kp")}
+    met = dealt("i", "j", "a", "b").cogroup(dealt("j", "i", "b", "a")).applyInArrow(_match, f"i {p.schema['i'].dataType.simpleString()}, j {p.schema['j'].dataType.simpleString()}, way boolean, kp {types['kp']}, d double, other {types['kp']}")
+    best = met.groupBy("i", "j", "way", "kp").agg(F.slice(F.array_sort(F.collect_list(F.struct("d", "other"))), 1, 2).alias("near"))
+    best = written(best.where((F.size("near") > 1) & (F.col("near")[0]["d"] < ratio * F.try_element_at("near", F.lit(2))["d"])).select("i", "j", "way", "kp", F.col("near")[0]["d"].alias("d"), F.col("near")[0]["other"].alias("other")), "best")
+    ahead, back = best.where("way").select("i", "j", F.col("kp").alias("ka"), F.col("other").alias("kb"), "d"), best.where("not way").select("i", "j", F.col("other").alias("ka"), F.col("kp").alias("kb"))
+    return ahead.join(back, ["i", "j", "ka", "kb"])
 
 
 def candidate_pairs(cameras: DataFrame, nearest: DataFrame, window: int = 4) -> DataFrame:

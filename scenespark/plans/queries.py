@@ -229,7 +229,7 @@ def mutual_ratio_match(v: Views) -> DataFrame:
     d = v.table("embeddings").select(F.col("label").alias("img"), F.col("vec_id").alias("kp"), F.col("embedding").alias("desc"))
     i = d.select("img").distinct()
     pairs = i.select(F.col("img").alias("i")).join(i.select(F.col("img").alias("j")), F.col("i") < F.col("j"))
-    return rounded(matching.mutual_matches(d, pairs, 0.95))
+    return rounded(matching.mutual_matches(d, pairs, 0.95, 1))
 
 
 # rasters and meshes

@@ -81,3 +81,26 @@ def test_heights_meet_no_other_table(spark):
 
 
 @pytest.mark.parametrize("ratio", [0.95, 0.8])
+def test_matches_in_blocks(spark, monkeypatch, ratio):
+    """Copies, a small image, a null and one that is not finite; blocks smaller than an image. No row is a distance."""
+    from scenespark.operators import matching
+
+    monkeypatch.setattr(matching, "BLOCK", 8)
+    rng = np.random.default_rng(7)
+    x = rng.normal(size=(60, 5)).astype("float32")
+    x[20:32] = x[:12] + rng.normal(size=(12, 5)).astype("float32") * 0.05
+    x[33] = x[32]
+    img = [0] * 20 + [1] * 36 + [2] * 4
+    rows = [(g, i, v.tolist()) for i, (g, v) in enumerate(zip(img, x))]
+    desc = spark.createDataFrame([*rows, (0, 70, None), (1, 71, [float("inf")] * 5)], "img int, kp long, desc array<float>")
+    pairs = spark.createDataFrame([(0, 1), (0, 2), (1, 2)], "i int, j int")
+    out = matching.mutual_matches(desc, pairs, ratio, 1)
+    x, img, want = x.astype(float), np.array(img), set()
+    for i, j in ((0, 1), (0, 2), (1, 2)):
+        a, b = np.flatnonzero(img == i), np.flatnonzero(img == j)
+        d = np.sqrt(((x[a][:, None] - x[b][None]) ** 2).sum(2))
+        for u, v in np.argwhere((d == d.min(1)[:, None]) & (d == d.min(0)[None])):
+            if d[u, v] < ratio * np.sort(d[u])[1] and d[u, v] < ratio * np.sort(d[:, v])[1]:
+                want.add((i, j, int(a[u]), int(b[v])))
+    assert {(r.i, r.j, r.ka, r.kb) for r in out.collect()} == want and len(want) > 5
+    assert "zip_with" not in plan(out)

@@ -93,6 +93,15 @@ def test_heights_meet_no_other_table(spark):
     assert got == pytest.approx(dict(enumerate(want))) and joins == [1]
 
 
+def test_heights_are_not_sent_to_all_tasks(spark, monkeypatch, tmp_path):
+    """Points meet their medians in a merge join, though both tables are small by their files."""
+    spark.createDataFrame(rows_of(np.random.default_rng(9).normal(size=(120, 3))), POINT).write.parquet(f"{tmp_path}/points")
+    plans, write = [], cloud.written
+    monkeypatch.setattr(cloud, "written", lambda t, label: plans.append(plan(t)) or write(t, label))
+    assert cloud.height_residual(spark.read.parquet(f"{tmp_path}/points"), 10).count() == 120
+    assert "Broadcast" not in plans[0] and plans[0].count("SortMergeJoin") == 1
+
+
 def test_far_vertices_meet_few_blocks():
     """Vertices far from the whole cloud do not meet all of it."""
     rng = np.random.default_rng(5)

@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
-from itertools import repeat
+import re
+from itertools import chain, repeat
 
 import numpy as np
-import regex
 
 #: Entries of a table, of 0.2 KB each; a full table starts again.
 MOST = 700_000
-_PIECES = regex.compile(r"\p{L}+|\p{N}|[^\s\p{L}\p{N}]+")
-_PLAIN = regex.compile(r"[!-&(-~À-ÖØ-öø-ÿ]+")
+#: Latin text without apostrophes, of several chunks in lower case with "\n" between them, as the file's pattern cuts it.
+_PIECES = re.compile(r"[a-zß-öø-ÿ]+|[0-9]|[!-&(-/:-@\[-`{-~]+|\n")
+_PLAIN = re.compile(r"[!-&(-~À-ÖØ-öø-ÿ]+")
+#: These letters as byte-level vocabularies write their bytes in UTF-8.
+_LETTERS = str.maketrans({chr(c): "".join(chr(b + (162 if b < 0xA1 else 0)) if b != 0xAD else chr(323) for b in chr(c).encode()) for c in range(0xDF, 0x100)})
 
 
 class WordEncoder:
@@ -23,11 +26,9 @@ class WordEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        vocab = self.tokenizer.get_vocab()
-        self.ends = np.zeros(max(vocab.values()) + 1, bool)
-        self.ends[[i for w, i in vocab.items() if w.endswith("</w>")]] = True
+        self.model = self.tokenizer.model
         self.clear()
-        self.pieces: dict[str, bytes] = {}
+        self.pieces: dict[str, bytes] = {"\n": b""}
 
     def clear(self) -> None:
         self.words: dict[bytes, int] = {}
@@ -36,25 +37,29 @@ class WordEncoder:
     def _ids(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.uint32).tobytes()
 
-    def _learn(self, chunks: list[bytes]) -> None:
+    def _pieces(self, chunks: list[str]) -> list[bytes]:
+        """The ids of plain chunks. Each piece is a word to the file's model, whose pattern and normaliser then have nothing to do."""
         if len(self.pieces) > MOST:
-            self.pieces = {}
-        known, plain, cut_up, cuts = self.pieces, _PLAIN.fullmatch, _PIECES.findall, []
-        for c in chunks:
-            s = c.decode("utf-8", "replace")
-            cuts.append(cut_up(s.lower()) if plain(s) and "<|" not in s else s)
-        new = list({p for c in cuts if c.__class__ is list for p in c if p not in known})
-        for i in range(0, len(new), 2000):
-            part = new[i : i + 2000]
-            ids = np.array(self.tokenizer.encode(" ".join(part), add_special_tokens=False).ids, np.uint32)
-            at = np.flatnonzero(self.ends[ids]) + 1
-            if len(at) == len(part):
-                raw, to = ids.tobytes(), (at * 4).tolist()
-                known.update(zip(part, (raw[a:b] for a, b in zip([0, *to[:-1]], to))))
-            else:
-                known.update((p, self._ids(p)) for p in part)
-        got = [(known[c[0]] if len(c) == 1 else b"".join([known[p] for p in c])) if c.__class__ is list else self._ids(c) for c in cuts]
-        length = np.array([len(g) for g in got], np.int64) // 4
+            self.pieces = {"\n": b""}
+        known, cuts = self.pieces, _PIECES.findall("\n".join([*chunks, ""]).lower())
+        new = [p for p in set(cuts) if p not in known]
+        ids = [[t.id for t in self.model.tokenize(p if p.isascii() else p.translate(_LETTERS))] for p in new]
+        to = np.cumsum([0, *map(len, ids)]) * 4
+        raw, to = np.array(list(chain.from_iterable(ids)), np.uint32).tobytes(), to.tolist()
+        known.update(zip(new, (raw[a:b] for a, b in zip(to, to[1:]))))
+        got = [known[p] for p in cuts]
+        length = np.array(list(map(len, got)), np.int64)
+        to, raw = length.cumsum()[length == 0].tolist(), b"".join(got)
+        return [raw[a:b] for a, b in zip([0, *to], to)]
+
+    def _learn(self, chunks: list[bytes]) -> None:
+        texts = b"\n".join(chunks).decode("utf-8", "replace").split("\n")
+        plain = np.array([c is not None for c in map(_PLAIN.fullmatch, texts)]) & ~np.array(["<|" in s for s in texts])
+        got = self._pieces([texts[i] for i in np.flatnonzero(plain).tolist()])
+        if len(got) < len(texts):
+            odd = iter(got)
+            got = [next(odd) if p else self._ids(s) for p, s in zip(plain.tolist(), texts)]
+        length = np.array(list(map(len, got)), np.int64) // 4
         self.words.update(zip(chunks, range(len(self.length), len(self.length) + len(chunks))))
         self.start = np.concatenate((self.start, len(self.flat) // 4 + np.cumsum(length) - length))
         self.length = np.concatenate((self.length, length))
@@ -68,7 +73,7 @@ class WordEncoder:
         # same where nothing composes with them and no special token could come of it
         chunks = [(t if b"<|" in t or b"\xcc" in t or b"\xcd" in t else t.lower()).split() for t in texts]
         flat = [w for c in chunks for w in c]
-        found = np.array(list(map(self.words.get, flat, repeat(-1))), np.int64)
+        found = np.fromiter(map(self.words.get, flat, repeat(-1)), np.int64, len(flat))
         at = np.concatenate(([0], np.cumsum([len(c) for c in chunks]))).astype(np.int64)
         if not flat:
             return np.zeros(0, np.uint32), np.zeros(len(texts) + 1, np.int64)

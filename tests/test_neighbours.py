@@ -102,6 +102,31 @@ def test_heights_are_not_sent_to_all_tasks(spark, monkeypatch, tmp_path):
     assert "Broadcast" not in plans[0] and plans[0].count("SortMergeJoin") == 1
 
 
+def test_only_counts_of_blocks_are_sent_to_all_tasks(spark, monkeypatch, tmp_path):
+    """Of all that the height test runs, as it ran in the end: no table of points goes through the driver, whatever the limit."""
+    monkeypatch.setattr(neighbours, "LEAF", 64)
+    spark.createDataFrame(rows_of(np.random.default_rng(10).normal(size=(1_200, 3))), POINT).write.parquet(f"{tmp_path}/points")
+    bus, store = spark.sparkContext._jsc.sc().listenerBus(), spark._jsparkSession.sharedState().statusStore()
+    bus.waitUntilEmpty(30_000)
+    every = lambda seq: (seq.apply(i) for i in range(seq.size()))
+    ids = lambda: {run.executionId() for run in every(store.executionsList())}
+    limit, before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold"), ids()
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "1g")
+    try:
+        assert cloud.height_residual(spark.read.parquet(f"{tmp_path}/points"), 10).count() == 1_200
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+    bus.waitUntilEmpty(30_000)
+    sent = []
+    for run in ids() - before:
+        values = store.executionMetrics(run)
+        for node in every(store.planGraph(run).allNodes()):
+            if node.name() == "BroadcastExchange":
+                rows = {m.name(): values.get(m.accumulatorId()) for m in every(node.metrics())}["number of output rows"]
+                sent.append(int(rows.get().replace(",", "")) if rows.isDefined() else 0)
+    assert sent and max(sent) < 60
+
+
 def test_far_vertices_meet_few_blocks():
     """Vertices far from the whole cloud do not meet all of it."""
     rng = np.random.default_rng(5)
